@@ -92,7 +92,7 @@ def trim_tail(df: DataFrame, y: str, date: str, key: Sequence[str] = (), lookbac
     past = w.rowsBetween(-lookback, -1)
     med = F.when(F.count(y).over(past) == lookback, F.percentile(y, F.lit(0.5)).over(past))
     bad = F.coalesce(F.col(y) < F.lit(ratio) * med, F.lit(False))
-    later = Window.partitionBy(*key).orderBy(F.col(date)).rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)
     marked = df.withColumn("_good", (~bad).cast("int"))
     return (marked.withColumn("_keep", F.max("_good").over(later))
             .where(F.col("_keep") == 1).drop("_good", "_keep"))
