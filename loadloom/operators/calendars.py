@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadloom.config import NATIONAL_HOLIDAYS, REGIONAL_HOLIDAYS
-from loadloom.functions import columns as C
 
 # Month and day of the yearly national holidays outside the listed years.
 FIXED_NATIONAL = ((1, 1), (1, 6), (5, 1), (8, 15), (10, 12), (11, 1), (12, 6), (12, 8), (12, 25))
@@ -25,87 +24,77 @@ def spine_of(df: DataFrame, date="date") -> DataFrame:
     return ends.select(F.explode(F.sequence("a", "b")).alias(date))
 
 
-def easter(year) -> Column:
-    """Easter Sunday of the Gregorian calendar, in integer column arithmetic."""
-    y = C._c(year).cast("int")
-
-    def div(a: Column, b: int) -> Column:
-        return F.floor(a / F.lit(b)).cast("int")
-
-    golden = y % 19
-    century, in_century = div(y, 100), y % 100
-    leap_c, rest_c = div(century, 4), century % 4
-    moon_shift = div(century - div(century + 8, 25) + 1, 3)
-    epact = (golden * 19 + century - leap_c - moon_shift + 15) % 30
-    weekday = (F.lit(32) + rest_c * 2 + div(in_century, 4) * 2 - epact - in_century % 4) % 7
-    late = div(golden + epact * 11 + weekday * 22, 451)
-    n = epact + weekday - late * 7 + 114
-    return F.make_date(y, div(n, 31), n % 31 + 1)
-
-
-def national_holidays(years: DataFrame, year="year") -> DataFrame:
-    """Dates of the national holidays: the listed days where known, else the yearly rule."""
-    y = F.col(year)
-    fixed = [F.make_date(y, F.lit(m), F.lit(d)) for m, d in FIXED_NATIONAL]
-    rule = F.array(*fixed, F.date_sub(easter(y), 2))
-    expr = None
-    for listed, text in NATIONAL_HOLIDAYS.items():
-        days = F.array(*[F.lit(f"{listed}-{md}").cast("date") for md in text.split()])
-        expr = F.when(y == listed, days) if expr is None else expr.when(y == listed, days)
-    return years.select(F.explode(expr.otherwise(rule)).alias("date")).distinct()
-
-
-def regional_holidays(years: DataFrame, rules: Sequence = REGIONAL_HOLIDAYS, key="province", year="year") -> DataFrame:
-    """(key, date, label) of the regional rules; labels of one day are joined in order."""
-    y = F.col(year)
-    out = None
-    for codes, offsets, fixed, label in rules:
-        days = [F.date_add(easter(y), o) for o in offsets] + [F.make_date(y, F.lit(m), F.lit(d)) for m, d in fixed]
-        part = (years.select(F.explode(F.array(*days)).alias("date"))
-                .select(F.explode(F.array(*[F.lit(c) for c in codes])).alias(key), "date", F.lit(label).alias("label")))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key, "date").agg(F.array_join(F.array_sort(F.collect_set("label")), "; ").alias("label"))
+def easter_sql(year: str) -> str:
+    """SQL text of Easter Sunday (Gregorian) for a year expression, in integer arithmetic."""
+    golden, century, rest = f"({year} % 19)", f"({year} div 100)", f"({year} % 100)"
+    moon = f"(({century} - ({century} + 8) div 25 + 1) div 3)"
+    epact = f"((19 * {golden} + {century} - {century} div 4 - {moon} + 15) % 30)"
+    weekday = f"((32 + 2 * ({century} % 4) + 2 * ({rest} div 4) - {epact} - {rest} % 4) % 7)"
+    late = f"(({golden} + 11 * {epact} + 22 * {weekday}) div 451)"
+    n = f"({epact} + {weekday} - 7 * {late} + 114)"
+    return f"make_date({year}, int({n} div 31), int({n} % 31 + 1))"
+
+
+def easter(year: str) -> Column:
+    return F.expr(easter_sql(year))
+
+
+def national_holiday(date: str, easter_sunday: str) -> Column:
+    """Listed days in the years with an official list, the yearly rule in all others."""
+    years = ", ".join(map(str, NATIONAL_HOLIDAYS))
+    listed = ", ".join(f"DATE'{y}-{md}'" for y, text in NATIONAL_HOLIDAYS.items() for md in text.split())
+    fixed = ", ".join(str(m * 100 + d) for m, d in FIXED_NATIONAL)
+    return F.expr(f"""CASE WHEN year({date}) IN ({years}) THEN {date} IN ({listed})
+        ELSE month({date}) * 100 + day({date}) IN ({fixed}) OR datediff({date}, {easter_sunday}) = -2 END""")
+
+
+def regional_labels(key: str, date: str, easter_sunday: str, rules: Sequence = REGIONAL_HOLIDAYS) -> Column:
+    """Labels of the regional rules that make this day a holiday, in order, ``; ``-separated."""
+    hits = []
+    for codes, offsets, fixed, label in sorted(rules, key=lambda r: r[3]):
+        days = [f"month({date}) * 100 + day({date}) = {m * 100 + d}" for m, d in fixed]
+        days += [f"datediff({date}, {easter_sunday}) = {o}" for o in offsets]
+        code_list = ", ".join(f"'{c}'" for c in codes)
+        hits.append(f"CASE WHEN {key} IN ({code_list}) AND ({' OR '.join(days)}) THEN '{label}' END")
+    return F.expr(f"concat_ws('; ', array_distinct(array({', '.join(hits)})))")
 
 
 def calendar(keys: DataFrame, spine: DataFrame, rules: Sequence = REGIONAL_HOLIDAYS, key="province",
              cap: int = 30) -> DataFrame:
     """Calendar features at (key, date).
 
-    The grid has keys x days rows (a few hundred thousand at most), so its
-    windows are small however large the fact tables are.
+    Holidays are expressions of the date, so the grid is built by one cross join
+    of keys and days and needs a single shuffle for the neighbour windows. It has
+    keys x days rows (a few hundred thousand at most).
     """
-    years = spine.select(F.year("date").alias("year")).distinct()
-    national = national_holidays(years).withColumn("_n", F.lit(True))
-    regional = regional_holidays(years, rules, key).withColumn("_r", F.lit(True))
-    easters = years.select("year", easter("year").alias("_easter"))
-    grid = (keys.select(key).distinct().crossJoin(spine).withColumn("year", F.year("date"))
-            .join(national, "date", "left").join(regional, [key, "date"], "left").join(easters, "year"))
-    n, r = F.coalesce("_n", F.lit(False)), F.coalesce("_r", F.lit(False))
-    grid = grid.select(
-        key, "date", (n | r).alias("is_holiday"), n.alias("is_holiday_national"), r.alias("is_holiday_regional"),
-        F.when(n & r, "national_and_regional").when(n, "national").when(r, "regional").otherwise("none").alias("holiday_scope"),
-        F.concat_ws("; ", F.when(n, "National"), "label").alias("holiday_label"),
-        F.datediff("date", "_easter").between(-3, 1).alias("is_easter_window"))
-    w = Window.partitionBy(key).orderBy("date")
-    day = F.when(F.col("is_holiday"), F.col("date"))
-    back = F.last(day, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    latest_first = Window.partitionBy(key).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = F.last(day, True).over(latest_first)
-    beside = F.lag("is_holiday", 1, False).over(w) | F.lead("is_holiday", 1, False).over(w)
-    distance = F.least(F.datediff("date", back), F.datediff(ahead, "date"), F.lit(cap))
-    return grid.select("*", distance.alias("days_to_holiday"),
-                       ((C.iso_dow("date") <= 5) & ~F.col("is_holiday") & beside).alias("is_bridge_day"))
-
-
-def daylight_hours(date, latitude) -> Column:
+    grid = keys.select(key).distinct().crossJoin(spine.withColumn("_easter", easter("year(date)")))
+    grid = grid.select(key, "date", national_holiday("date", "_easter").alias("_n"),
+                       regional_labels(key, "date", "_easter", rules).alias("_label"),
+                       F.datediff("date", "_easter").between(-3, 1).alias("is_easter_window"))
+    grid = grid.selectExpr(
+        key, "date", "is_easter_window", "_n OR _label <> '' AS is_holiday", "_n AS is_holiday_national",
+        "_label <> '' AS is_holiday_regional",
+        """CASE WHEN _n AND _label <> '' THEN 'national_and_regional' WHEN _n THEN 'national'
+           WHEN _label <> '' THEN 'regional' ELSE 'none' END AS holiday_scope""",
+        "concat_ws('; ', CASE WHEN _n THEN 'National' END, nullif(_label, '')) AS holiday_label")
+    # The look-ahead runs backwards over the dates, so both directions are running frames.
+    last_holiday = "last(CASE WHEN is_holiday THEN date END, true)"
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    w = f"PARTITION BY {key} ORDER BY date"
+    return grid.selectExpr(
+        "*", f"""least(datediff(date, {last_holiday} OVER ({w} {running})),
+                       datediff({last_holiday} OVER ({w} DESC {running}), date), {cap}) AS days_to_holiday""",
+        f"""weekday(date) < 5 AND NOT is_holiday AND (lag(is_holiday, 1, false) OVER ({w})
+            OR lead(is_holiday, 1, false) OVER ({w})) AS is_bridge_day""")
+
+
+def daylight_hours(date: str, latitude: str) -> Column:
     """Hours between sunrise and sunset from the sunrise equation.
 
     The declination is the yearly sine; with refraction it stays within about
     ten minutes of almanac tables at middle latitudes.
     """
-    doy = F.dayofyear(C._c(date))
-    tilt = F.asin(F.sin(F.radians(F.lit(23.44))) * F.sin(F.lit(2.0) * F.pi() * (doy - 81) / F.lit(365.25)))
-    phi = F.radians(C._c(latitude))
-    x = (F.sin(F.radians(F.lit(-0.833))) - F.sin(phi) * F.sin(tilt)) / (F.cos(phi) * F.cos(tilt))
-    hours = F.lit(24.0) / F.pi() * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
-    return F.when(x.isNotNull(), hours)
+    tilt = f"asin(sin(radians(23.44D)) * sin(2 * pi() * (dayofyear({date}) - 81) / 365.25D))"
+    lat = f"radians({latitude})"
+    x = f"(sin(radians(-0.833D)) - sin({lat}) * sin({tilt})) / (cos({lat}) * cos({tilt}))"
+    return F.expr(f"CASE WHEN {latitude} IS NOT NULL THEN 24 / pi() * acos(greatest(-1D, least(1D, {x}))) END")

@@ -25,73 +25,72 @@ SHAPE_COLUMNS = ("ratio_night_day", "ratio_weekend_weekday", "seasonal_amplitude
 CLIMATE_COLUMNS = ("beta_hdd_norm", "beta_cdd_norm", "r2_joint")
 
 
+def _normalised(mean: str) -> list[str]:
+    return [f"CASE WHEN _h{h} IS NOT NULL THEN IF({mean} > 0, _h{h} / {mean}, 0D) END AS norm_h{h:02d}" for h in HOURS]
+
+
 def hour_shape(profile: DataFrame, user="user_id") -> DataFrame:
     """24 columns: the hourly profile divided by the user's mean (zero if the mean is not positive).
 
     One aggregate instead of a window plus a pivot: the mean and the 24 cells
     come out of the same grouping, with at most 24 input rows per user.
     """
-    cells = [F.max(F.when(F.col("hour") == h, F.col("mean_kwh"))).alias(f"_h{h}") for h in HOURS]
-    g = profile.groupBy(user).agg(F.avg("mean_kwh").alias("_mean"), *cells)
-    return g.select(user, *_normalised("_mean"))
-
-
-def _normalised(mean: str) -> list:
-    return [F.when(F.col(f"_h{h}").isNotNull(),
-                   F.when(F.col(mean) > 0, F.col(f"_h{h}") / F.col(mean)).otherwise(F.lit(0.0)))
-            .alias(f"norm_h{h:02d}") for h in HOURS]
+    cells = [F.expr(f"max(mean_kwh) FILTER (WHERE hour = {h}) AS _h{h}") for h in HOURS]
+    return profile.groupBy(user).agg(F.avg("mean_kwh").alias("_mean"), *cells).selectExpr(user, *_normalised("_mean"))
 
 
 def hour_cells(df: DataFrame, user="user_id", ts="ts", value="kwh") -> DataFrame:
     """Mean reading per user and hour: overall, by day type and by season (24 rows per user)."""
-    v, weekend, season = F.col(value), C.is_weekend(ts), C.season(F.month(ts))
+    months = {"winter": "12, 1, 2", "spring": "3, 4, 5", "summer": "6, 7, 8", "autumn": "9, 10, 11"}
+    aggs = [f"avg({value}) AS m", f"avg({value}) FILTER (WHERE weekday({ts}) < 5) AS m_weekday",
+            f"avg({value}) FILTER (WHERE weekday({ts}) >= 5) AS m_weekend"]
+    aggs += [f"avg({value}) FILTER (WHERE month({ts}) IN ({m})) AS m_{s}" for s, m in months.items()]
     return (df.where(C.valid_reading(value, user)).groupBy(user, F.hour(ts).alias("hour"))
-            .agg(F.avg(v).alias("m"), A.mean_where(~weekend, v).alias("m_weekday"),
-                 A.mean_where(weekend, v).alias("m_weekend"),
-                 *[A.mean_where(season == s, v).alias(f"m_{s}") for s in SEASONS]))
+            .agg(*[F.expr(a) for a in aggs]))
 
 
 def shape_features(cells: DataFrame, user="user_id") -> DataFrame:
-    """Normalised curve, behaviour ratios, peak hours, seasonal amplitude and tariff-period shares."""
-    h, m = F.col("hour"), F.col("m")
-    wd, we = F.col("m_weekday"), F.col("m_weekend")
-    period = C.tou_period(F.lit("weekday"), "hour")
-
-    def week(name):  # five weekdays by period; both weekend days are valley
-        part = A.sum_where(period == name, wd * 5.0)
-        return part + A.sum_where(F.lit(True), we * 2.0) if name == "valley" else part
-
-    def top_hour(col):  # highest mean, earliest hour on ties
-        return F.max_by("hour", F.when(col.isNotNull(), F.struct(col, -h)))
-
-    g = cells.groupBy(user).agg(
-        F.avg(m).alias("user_mean"), *[F.max(F.when(h == k, m)).alias(f"_h{k}") for k in HOURS],
-        A.mean_where(h <= 6, m).alias("_night"), A.mean_where(h >= 7, m).alias("_day"),
-        F.avg(wd).alias("_wd"), F.avg(we).alias("_we"), F.sum(m).alias("_all"),
-        A.sum_where(h.between(6, 11), m).alias("_morning"), A.sum_where(h.between(12, 17), m).alias("_afternoon"),
-        A.sum_where(h.between(18, 23), m).alias("_evening"), A.sum_where(h.between(0, 5), m).alias("_small"),
-        top_hour(m).alias("peak_hour"), top_hour(wd).alias("weekday_peak_hour"), top_hour(we).alias("weekend_peak_hour"),
-        *[F.avg(f"m_{s}").alias(f"_{s}") for s in SEASONS],
-        week("valley").alias("valley_kwh_week"), week("flat").alias("flat_kwh_week"), week("peak").alias("peak_kwh_week"))
-    seasons = [F.col(f"_{s}") for s in SEASONS]
-    amplitude = F.greatest(*seasons) - F.least(*seasons)
-    n_seasons = sum((s.isNotNull().cast("int") for s in seasons), F.lit(0))
-    mean_season = C.ratio(sum((F.coalesce(s, F.lit(0.0)) for s in seasons), F.lit(0.0)), n_seasons)
-    total = F.col("valley_kwh_week") + F.col("flat_kwh_week") + F.col("peak_kwh_week")
-    return g.select(
-        user, *_normalised("user_mean"),
-        C.positive_ratio("_night", "_day").alias("ratio_night_day"), C.positive_ratio("_we", "_wd").alias("ratio_weekend_weekday"),
-        C.ratio("_morning", "_all").alias("morning_share"), C.ratio("_afternoon", "_all").alias("afternoon_share"),
-        C.ratio("_evening", "_all").alias("evening_share"), C.ratio("_small", "_all").alias("night_share"),
-        C.ratio("_morning", "_afternoon").alias("ratio_morning_afternoon"),
-        C.ratio("_evening", "_morning").alias("ratio_evening_morning"), C.ratio("_small", "_morning").alias("ratio_night_morning"),
-        "peak_hour", "weekday_peak_hour", "weekend_peak_hour",
-        F.abs(F.col("weekend_peak_hour") - F.col("weekday_peak_hour")).alias("peak_shift"),
-        amplitude.alias("seasonal_amplitude"),
-        F.when(mean_season > 0, amplitude / mean_season).otherwise(F.lit(0.0)).alias("seasonal_amplitude_norm"),
-        "valley_kwh_week", "flat_kwh_week", "peak_kwh_week", C.ratio("valley_kwh_week", total).alias("valley_share"),
-        C.ratio("flat_kwh_week", total).alias("flat_share"), C.ratio("peak_kwh_week", total).alias("peak_share"),
-        C.ratio("peak_kwh_week", "valley_kwh_week").alias("peak_to_valley_ratio"))
+    """Normalised curve, behaviour ratios, peak hours, seasonal amplitude and tariff-period shares.
+
+    A single aggregate over the 24 cells of each user feeds every column.
+    """
+    def total(col, hours):
+        return f"coalesce(sum({col}) FILTER (WHERE {hours}), 0D)"
+
+    def top_hour(col, name):  # highest mean, earliest hour on ties
+        return f"max_by(hour, struct({col}, -hour)) FILTER (WHERE {col} IS NOT NULL) AS {name}"
+
+    aggs = [
+        "avg(m) AS user_mean", *[f"max(m) FILTER (WHERE hour = {k}) AS _h{k}" for k in HOURS],
+        "avg(m) FILTER (WHERE hour <= 6) AS _night", "avg(m) FILTER (WHERE hour >= 7) AS _day",
+        "avg(m_weekday) AS _wd", "avg(m_weekend) AS _we", "sum(m) AS _all",
+        f"{total('m', 'hour BETWEEN 6 AND 11')} AS _morning", f"{total('m', 'hour BETWEEN 12 AND 17')} AS _afternoon",
+        f"{total('m', 'hour >= 18')} AS _evening", f"{total('m', 'hour <= 5')} AS _small",
+        top_hour("m", "peak_hour"), top_hour("m_weekday", "weekday_peak_hour"), top_hour("m_weekend", "weekend_peak_hour"),
+        *[f"avg(m_{s}) AS _{s}" for s in SEASONS],
+        # Five weekdays by tariff period; both weekend days are valley.
+        f"{total('m_weekday * 5', 'hour <= 7')} + {total('m_weekend * 2', 'true')} AS valley_kwh_week",
+        f"{total('m_weekday * 5', 'hour IN (8, 9, 14, 15, 16, 17, 22, 23)')} AS flat_kwh_week",
+        f"{total('m_weekday * 5', 'hour IN (10, 11, 12, 13, 18, 19, 20, 21)')} AS peak_kwh_week"]
+    cols = ", ".join(f"_{s}" for s in SEASONS)
+    known = f"filter(array({cols}), x -> x IS NOT NULL)"
+    amplitude = f"greatest({cols}) - least({cols})"
+    week = "valley_kwh_week + flat_kwh_week + peak_kwh_week"
+    g = cells.groupBy(user).agg(*[F.expr(a) for a in aggs])
+    g = g.selectExpr("*", f"{amplitude} AS seasonal_amplitude", f"{week} AS _week",
+                     f"try_divide(aggregate({known}, 0D, (a, x) -> a + x), size({known})) AS _season_mean")
+    return g.selectExpr(
+        user, *_normalised("user_mean"), "IF(_day > 0, _night / _day, NULL) AS ratio_night_day",
+        "IF(_wd > 0, _we / _wd, NULL) AS ratio_weekend_weekday",
+        *[f"try_divide(_{p}, _all) AS {n}_share" for p, n in (("morning", "morning"), ("afternoon", "afternoon"),
+                                                             ("evening", "evening"), ("small", "night"))],
+        "try_divide(_morning, _afternoon) AS ratio_morning_afternoon", "try_divide(_evening, _morning) AS ratio_evening_morning",
+        "try_divide(_small, _morning) AS ratio_night_morning", "peak_hour", "weekday_peak_hour", "weekend_peak_hour",
+        "abs(weekend_peak_hour - weekday_peak_hour) AS peak_shift", "seasonal_amplitude",
+        "IF(_season_mean > 0, seasonal_amplitude / _season_mean, 0D) AS seasonal_amplitude_norm",
+        "valley_kwh_week", "flat_kwh_week", "peak_kwh_week",
+        *[f"try_divide({p}_kwh_week, _week) AS {p}_share" for p in ("valley", "flat", "peak")],
+        "try_divide(peak_kwh_week, valley_kwh_week) AS peak_to_valley_ratio")
 
 
 def daily_stats(daily: DataFrame, user="user_id", date="date", value="daily_kwh", full=24) -> DataFrame:

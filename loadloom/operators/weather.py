@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadloom.functions import columns as C
-from loadloom.operators.ranks import latest_per_key, null_safe_join
+from loadloom.operators.ranks import latest_per_key
 
 MEASURES = ("tmean", "tmax", "tmin", "prec", "rh", "sun", "wind")
 
@@ -56,27 +56,24 @@ def impute_seasonal(df: DataFrame, keys: Sequence[str], cols: Sequence[str], dat
     Each column gets an ``<col>_imputed`` flag. A column with no observation at
     all in a series stays null; :func:`imputation_summary` reports it.
     """
-    by_day = Window.partitionBy(*keys, F.dayofyear(date))
-    whole = Window.partitionBy(*keys)
+    part = f"PARTITION BY {', '.join(keys)}"
     # Both directions are running frames (the second on descending dates), which Spark
     # evaluates in one pass; a frame that shrinks towards the end costs a pass per row.
-    running = (Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(date).rowsBetween(*running)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc(date)).rowsBetween(*running)
-    out = df.select("*", *[F.coalesce(F.avg(c).over(by_day), F.avg(c).over(whole)).alias(f"_s_{c}") for c in cols])
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    back, ahead = f"OVER ({part} ORDER BY {date} {running})", f"OVER ({part} ORDER BY {date} DESC {running})"
+    out = df.selectExpr("*", *[f"coalesce(avg({c}) OVER ({part}, dayofyear({date})), avg({c}) OVER ({part})) AS _s_{c}" for c in cols])
+    ends = []
+    for c in cols:
+        seen = f"CASE WHEN {c} IS NOT NULL THEN {date} END"
+        for k, frame in enumerate((back, ahead)):
+            ends += [f"last({c} - _s_{c}, true) {frame} AS _r{k}_{c}", f"last({seen}, true) {frame} AS _d{k}_{c}"]
+    out = out.selectExpr("*", *ends)
     filled = []
     for c in cols:
-        resid = F.col(c) - F.col(f"_s_{c}")
-        day = F.when(F.col(c).isNotNull(), F.col(date))
-        r0, d0 = F.last(resid, True).over(back), F.last(day, True).over(back)
-        r1, d1 = F.last(resid, True).over(ahead), F.last(day, True).over(ahead)
-        step = C.ratio(F.datediff(date, d0), F.datediff(d1, d0))
-        middle = r0 + (r1 - r0) * step
-        filled.append((F.col(f"_s_{c}") + F.coalesce(middle, r0, r1)).alias(f"_f_{c}"))
-    out = out.select("*", *filled)
-    keep = [x for x in df.columns if x not in cols]
-    return out.select(*keep, *[F.coalesce(c, f"_f_{c}").alias(c) for c in cols],
-                      *[F.col(c).isNull().alias(f"{c}_imputed") for c in cols])
+        step = f"try_divide(double(datediff({date}, _d0_{c})), datediff(_d1_{c}, _d0_{c}))"
+        filled.append(f"coalesce({c}, _s_{c} + coalesce(_r0_{c} + (_r1_{c} - _r0_{c}) * {step}, _r0_{c}, _r1_{c})) AS {c}")
+        filled.append(f"{c} IS NULL AS {c}_imputed")
+    return out.selectExpr(*[x for x in df.columns if x not in cols], *filled)
 
 
 def repair(df: DataFrame) -> DataFrame:

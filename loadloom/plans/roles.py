@@ -11,28 +11,42 @@ from loadloom.operators.ranks import latest_per_key
 from loadloom.sources.readers import read_table
 
 
+# Declared schemas of the input tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", SCHEMAS[name])
 
 
 def readings(spark, sf) -> DataFrame:
     """Thirty days of hourly-like readings with nulls and negatives."""
-    e = table(spark, sf, "events")
-    amount = F.floor(F.col("value") * 64) / 64
-    err = F.col("event_type") == "error"
-    kwh = (F.when(err & (F.col("event_id") % 10 == 0), None)
-           .when(err & (F.col("event_id") % 10 == 1), -amount).otherwise(amount))
-    return e.select("user_id", "event_id", "ts", F.to_date("ts").alias("date"), kwh.alias("kwh"))
+    return table(spark, sf, "events").selectExpr(
+        "user_id", "event_id", "ts", "to_date(ts) AS date",
+        """CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN NULL
+                WHEN event_type = 'error' AND event_id % 10 = 1 THEN -floor(value * 64) / 64
+                ELSE floor(value * 64) / 64 END AS kwh""")
 
 
 def meter(spark, sf) -> DataFrame:
     """Seven years of readings per meter; the hour is derived from the order line."""
-    li = table(spark, sf, "lineitem")
-    hour = ((F.col("l_orderkey") * 5 + F.col("l_linenumber")) % 24).cast("int")
-    return li.select(F.col("l_suppkey").alias("user_id"),
-                     (F.col("l_shipdate") + F.make_dt_interval(hours=hour)).alias("ts"),
-                     F.to_date("l_shipdate").alias("date"), hour.alias("hour"),
-                     (F.col("l_quantity") / 8).alias("kwh"))
+    hour = "int((l_orderkey * 5 + l_linenumber) % 24)"
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey AS user_id", f"l_shipdate + make_dt_interval(0, {hour}) AS ts", "to_date(l_shipdate) AS date",
+        f"{hour} AS hour", "l_quantity / 8 AS kwh")
 
 
 def daily(spark, sf) -> DataFrame:
@@ -45,20 +59,14 @@ def short_daily(spark, sf) -> DataFrame:
 
 def contracts(spark, sf) -> DataFrame:
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    tariff = (F.when(F.col("o_orderpriority") == "1-URGENT", "2.0TD")
-              .when(F.col("o_orderpriority") == "2-HIGH", "2.0DHA")
-              .when(F.col("o_orderpriority") == "3-MEDIUM", "3.0TD")
-              .when(F.col("o_orderpriority") == "5-LOW", ""))
-    end = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400 - 20).cast("int"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("contract_id"),
-        (F.col("c_nationkey") * 1000 + F.col("o_custkey") % 1000).cast("int").alias("postcode"),
-        tariff.alias("tariff"),
-        F.when(F.col("o_orderkey") % 7 != 0,
-               F.concat(((F.col("o_orderkey") * 37) % 9900).cast("string"), F.lit(".0"))).alias("activity"),
-        (F.floor(F.col("c_acctbal") / 8) / 64).alias("p1_kw"),
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias("start_text"),
-        F.when(F.col("o_orderstatus") == "F", F.date_format(end, "dd/MM/yyyy")).alias("end_text"))
+    return o.join(c, F.expr("o_custkey = c_custkey")).selectExpr(
+        "o_custkey AS user_id", "o_orderkey AS contract_id", "int(c_nationkey * 1000 + o_custkey % 1000) AS postcode",
+        """CASE o_orderpriority WHEN '1-URGENT' THEN '2.0TD' WHEN '2-HIGH' THEN '2.0DHA' WHEN '3-MEDIUM' THEN '3.0TD'
+           WHEN '5-LOW' THEN '' END AS tariff""",
+        "CASE WHEN o_orderkey % 7 <> 0 THEN concat(string((o_orderkey * 37) % 9900), '.0') END AS activity",
+        "floor(c_acctbal / 8) / 64 AS p1_kw", "date_format(o_orderdate, 'dd/MM/yyyy') AS start_text",
+        """CASE WHEN o_orderstatus = 'F' THEN
+           date_format(date_add(to_date(o_orderdate), int(o_orderkey % 400 - 20)), 'dd/MM/yyyy') END AS end_text""")
 
 
 def user_dimension(spark, sf) -> DataFrame:
@@ -74,23 +82,15 @@ def user_dimension(spark, sf) -> DataFrame:
 
 def weather(spark, sf) -> DataFrame:
     """Daily weather per province with natural gaps and some missing cells."""
-    li = table(spark, sf, "lineitem")
-    s = table(spark, sf, "supplier")
-    per_meter = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    province = F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
-    d = F.to_date("l_shipdate")
-    agg = per_meter.groupBy(province.alias("province"), d.alias("date")).agg(
-        (F.avg("l_quantity") / 2).alias("tmean"), (F.max("l_quantity") / 2 + 2).alias("tmax"),
-        (F.min("l_quantity") / 2 - 2).alias("tmin"),
-        (F.sum(F.round(F.col("l_tax") * 100)) / 4).alias("prec"),
-        (F.avg(F.round(F.col("l_discount") * 100)) * 10).alias("rh"),
-        (F.max("l_linenumber") * 2).cast("double").alias("sun"),
-        F.count(F.lit(1)).cast("double").alias("wind"))
-    dom = F.dayofmonth("date")
-    return agg.select("province", F.concat(F.lit("S"), "province").alias("station"), "date",
-                      "tmean", "tmax", "tmin",
-                      F.when(dom % 7 != 0, F.col("prec")).alias("prec"), "rh",
-                      F.when(dom % 5 != 0, F.col("sun")).alias("sun"), "wind")
+    meters = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    days = meters.groupBy(F.expr("lpad(string(s_nationkey), 2, '0') AS province"), F.expr("to_date(l_shipdate) AS date")).agg(
+        *[F.expr(e) for e in (
+            "avg(l_quantity) / 2 AS tmean", "max(l_quantity) / 2 + 2 AS tmax", "min(l_quantity) / 2 - 2 AS tmin",
+            "sum(round(l_tax * 100)) / 4 AS prec", "avg(round(l_discount * 100)) * 10 AS rh",
+            "double(max(l_linenumber) * 2) AS sun", "double(count(*)) AS wind")])
+    return days.selectExpr("province", "concat('S', province) AS station", "date", "tmean", "tmax", "tmin",
+                           "CASE WHEN day(date) % 7 <> 0 THEN prec END AS prec", "rh",
+                           "CASE WHEN day(date) % 5 <> 0 THEN sun END AS sun", "wind")
 
 
 def meter_province(spark, sf) -> DataFrame:

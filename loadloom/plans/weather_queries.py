@@ -69,7 +69,7 @@ _TILT = "asin(sin(radians(23.44)) * sin(2 * pi() * (dayofyear(date) - 81) / 365.
     SELECT province, date, round({_DAYLIGHT.format(lat='(36 + CAST(province AS INTEGER) * 0.25)', d=_TILT)}, 8) AS daylight_hours FROM g""")
 def daylight(spark, sf):
     g = R.weather(spark, sf).select("province", "date")
-    lat = F.lit(36) + F.col("province").cast("int") * 0.25
+    lat = "(36 + int(province) * 0.25D)"
     return g.select("province", "date", R8(calendars.daylight_hours("date", lat)).alias("daylight_hours"))
 
 

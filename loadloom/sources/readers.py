@@ -18,8 +18,9 @@ READING_SCHEMA = T.StructType([
 USER_FILE = r"([0-9a-f]{64})\.csv$"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet table; a given schema saves the footer-reading job."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def read_readings_csv(spark: SparkSession, path: str, name_regex: str = USER_FILE, null: str = "NA") -> DataFrame:
