@@ -10,46 +10,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadloom.operators.ranks import percentiles
+from loadloom.sources.stage import stage
 
 MAD_SCALE = 1.4826
 
 
-def column_statistics(df: DataFrame, cols: Sequence[str], lo=0.01, hi=0.99) -> DataFrame:
-    """(column, fill, lo, hi, centre, scale) of each column, exact for any number of rows.
+def column_statistics(df: DataFrame, cols: Sequence[str], lo=0.01, hi=0.99) -> dict[str, dict[str, float]]:
+    """fill, lo, hi, centre and scale of each column, exact for any number of rows.
 
     All columns are processed together in long form, so the number of passes
-    does not depend on the number of columns. The fill is the median; the scale is the
-    MAD of the winsorised values, else their standard deviation, else one.
+    does not depend on the number of columns; only one row per column reaches
+    the driver. The fill is the median; the scale is the MAD of the winsorised
+    values, else their standard deviation, else one.
     """
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "value")
-    med = percentiles(long, "value", {"fill": 0.5}, by=["column"])
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    med = names.join(med, "column", "left").withColumn("fill", F.coalesce("fill", F.lit(0.0)))
-    filled = long.join(F.broadcast(med), "column").select("column", F.coalesce("value", "fill").alias("value"), "fill")
-    q = percentiles(filled.select("column", "value"), "value", {"lo": lo, "hi": hi}, by=["column"])
-    bounds = med.join(q, "column").withColumn("centre", F.expr("least(greatest(fill, lo), hi)"))
-    clipped = filled.drop("fill").join(F.broadcast(bounds), "column").selectExpr(
-        "column", "least(greatest(value, lo), hi) AS w", "abs(least(greatest(value, lo), hi) - centre) AS away")
-    mad = percentiles(clipped.select("column", "away"), "away", {"mad": 0.5}, by=["column"])
-    sd = clipped.groupBy("column").agg(F.stddev_samp("w").alias("sd"))
-    return bounds.join(mad, "column").join(sd, "column").selectExpr(
-        "column", "fill", "lo", "hi", "centre",
-        f"CASE WHEN mad * {MAD_SCALE} > 0 THEN mad * {MAD_SCALE} WHEN sd > 0 THEN sd ELSE 1D END AS scale")
+    long = stage(df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "value"))
+
+    def per_column(table: DataFrame) -> dict[str, dict]:
+        return {r["column"]: r.asDict() for r in table.collect()}
+
+    def pick(stats, name):  # the column's number as an expression of the long table
+        return "CASE column " + " ".join(f"WHEN '{c}' THEN {stats[c][name]!r}D" for c in cols) + " END"
+
+    known = per_column(percentiles(long, "value", {"fill": 0.5}, by=["column"]))
+    stats = {c: {"fill": (known.get(c) or {}).get("fill") or 0.0} for c in cols}
+    filled = long.selectExpr("column", f"coalesce(value, {pick(stats, 'fill')}) AS value")
+    for c, r in per_column(percentiles(filled, "value", {"lo": lo, "hi": hi}, by=["column"])).items():
+        stats[c].update(lo=r["lo"], hi=r["hi"], centre=min(max(stats[c]["fill"], r["lo"]), r["hi"]))
+    clipped = filled.selectExpr("column", f"least(greatest(value, {pick(stats, 'lo')}), {pick(stats, 'hi')}) AS w")
+    away = clipped.selectExpr("column", "w", f"abs(w - {pick(stats, 'centre')}) AS away")
+    mad = per_column(percentiles(away, "away", {"mad": 0.5}, by=["column"]))
+    sd = per_column(clipped.groupBy("column").agg(F.stddev_samp("w").alias("sd")))
+    for c in cols:
+        m, d = mad[c]["mad"] * MAD_SCALE, sd[c]["sd"] or 0.0
+        stats[c]["scale"] = m if m > 0 else d if d > 0 else 1.0
+    return stats
 
 
 def robust_matrix(df: DataFrame, cols: Sequence[str], lo=0.01, hi=0.99, weights: dict[str, float] | None = None) -> DataFrame:
     """Median fill, winsorise, robust scale and weight the columns; other columns are kept."""
-    stats = column_statistics(df, cols, lo, hi)
-    # One row, one entry per matrix column.
-    packed = stats.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("fill", "lo", "hi", "centre", "scale")))).alias("_s"))
-    weights = weights or {}
+    stats, weights = column_statistics(df, cols, lo, hi), weights or {}
     out = []
     for c in cols:
-        s = f"_s['{c}']"
-        clipped = f"least(greatest(coalesce(double({c}), {s}.fill), {s}.lo), {s}.hi)"
-        out.append(f"({clipped} - {s}.centre) / {s}.scale * {float(weights.get(c, 1.0))}D AS {c}")
-    keep = [c for c in df.columns if c not in cols]
-    return df.crossJoin(F.broadcast(packed)).selectExpr(*keep, *out)
+        s = stats[c]
+        clipped = f"least(greatest(coalesce(double({c}), {s['fill']!r}D), {s['lo']!r}D), {s['hi']!r}D)"
+        out.append(f"({clipped} - {s['centre']!r}D) / {s['scale']!r}D * {float(weights.get(c, 1.0))!r}D AS {c}")
+    return df.selectExpr(*[c for c in df.columns if c not in cols], *out)
 
 
 def assemble_vector(df: DataFrame, cols: Sequence[str], out="features") -> DataFrame:

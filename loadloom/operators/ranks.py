@@ -24,36 +24,38 @@ def value_bucket(value: Column) -> Column:
 
 
 def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """(by, value, n, below): rows per distinct value and rows strictly below it.
+    """(by, value, n, below, total, n_top) of every distinct non-null value.
 
-    ``weight`` names a column that already holds counts.
+    ``below`` counts the rows strictly below the value, ``total`` those of the
+    group and ``n_top`` those at the group's largest value. ``weight`` names a
+    column that already holds counts. The distinct-value shuffle is read by both
+    branches below (Spark reuses the exchange), so the input runs once.
     """
     by = list(by)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, value).agg(amount.cast("long").alias("n"))
               .withColumn("_bucket", value_bucket(F.col(value))))
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_bucket_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_bn"), F.max_by("n", value).alias("_bt"))
+    group = Window.partitionBy(*by)
+    ordered = group.orderBy("_bucket")
     offsets = totals.select(
-        *by, "_bucket", F.coalesce(F.sum("_bucket_n").over(before), F.lit(0)).alias("_offset"))
+        *by, "_bucket", F.coalesce(F.sum("_bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_bn").over(group).alias("total"), F.max(F.struct("_bucket", "_bt")).over(group)["_bt"].alias("n_top"))
     inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     joined = null_safe_join(counts, offsets, [*by, "_bucket"])
     return joined.select(
         *by, value, "n",
-        (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"))
+        (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total", "n_top")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how="inner") -> DataFrame:
     """Equi-join that treats null keys as equal and keeps one copy of each key."""
     right = right.select(*[F.col(k).alias(f"_r_{k}") for k in on],
                          *[c for c in right.columns if c not in on])
-    cond = None
-    for k in on:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in on])
+    cond = " AND ".join(f"{k} <=> _r_{k}" for k in on)
+    return left.join(right, F.expr(cond), how).drop(*[f"_r_{k}" for k in on])
 
 
 def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
@@ -62,56 +64,47 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence
 
     ``probs`` maps output column to probability. Matches ``percentile_cont``.
     """
-    by = list(by)
     runs = running_counts(df, value, by, weight)
-    sizes = runs.groupBy(*by).agg(F.sum("n").alias("_total"))
-    runs = null_safe_join(runs, sizes, by) if by else runs.crossJoin(sizes)
     aggs = []
-    v = F.col(value).cast("double")
     for name, p in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-
-        def holds(k):
-            return (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-
-        low = F.max(F.when(holds(lo), v))
-        high = F.max(F.when(holds(hi), v))
-        frac = F.max(pos - lo)
-        aggs.append((low + (high - low) * frac).alias(name))
+        pos = f"((total - 1) * {float(p)}D)"
+        low, high = (f"max({value}) FILTER (WHERE below <= {k} AND {k} < below + n)" for k in (f"floor{pos}", f"ceil{pos}"))
+        aggs.append(F.expr(f"double({low}) + (double({high}) - double({low})) * max({pos} - floor{pos}) AS {name}"))
     return runs.groupBy(*by).agg(*aggs)
 
 
-def order_statistic(df: DataFrame, value: str, rank: Column, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """The ``rank``-th smallest value per group (1-based; the expression may use ``_total``)."""
-    by = list(by)
+def order_statistic(df: DataFrame, value: str, rank: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """The ``rank``-th smallest value per group (1-based SQL text that may use ``total``), and the size ``n``."""
     runs = running_counts(df, value, by)
-    sizes = runs.groupBy(*by).agg(F.sum("n").alias("_total"))
-    runs = null_safe_join(runs, sizes, by) if by else runs.crossJoin(sizes)
-    k = F.least(F.greatest(rank, F.lit(1)), F.col("_total"))
-    hit = (F.col("below") < k) & (k <= F.col("below") + F.col("n"))
-    return runs.groupBy(*by).agg(F.max(F.when(hit, F.col(value))).alias(out),
-                                 F.max("_total").cast("long").alias("n"))
+    k = f"least(greatest({rank}, 1), total)"
+    return runs.groupBy(*by).agg(F.expr(f"max({value}) FILTER (WHERE below < {k} AND {k} <= below + n) AS {out}"),
+                                 F.max("total").cast("long").alias("n"))
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, value, rank_min, rank_avg) of each distinct value, ascending."""
-    return running_counts(df, value, by).select(
-        *by, value,
-        (F.col("below") + 1).alias("rank_min"),
-        (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank_avg"))
-
-
-def scaled_rank(df: DataFrame, col: str, out: str, inverse: bool = False) -> DataFrame:
-    """Average-tie rank divided by the top rank, in (0, 1]; null values get 0.5."""
-    ranks = value_ranks(df.select(col), col)
-    top = ranks.agg(F.max("rank_avg").alias("_top"))
-    ranks = ranks.crossJoin(top)
-    r, m = F.col("rank_avg"), F.col("_top")
-    score = (m - r + 1) / m if inverse else r / m
-    lookup = ranks.select(F.col(col).alias("_value"), score.alias(out))
-    joined = df.join(lookup, F.col(col) == F.col("_value"), "left").drop("_value")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.5)))
+    """(by, value, rank_min, rank_avg, rank_top) of each distinct value, ascending.
+
+    ``rank_avg`` shares the mean rank among ties; ``rank_top`` is that of the largest value.
+    """
+    return running_counts(df, value, by).selectExpr(
+        *by, value, "below + 1 AS rank_min", "below + (n + 1) / 2D AS rank_avg", "total - (n_top - 1) / 2D AS rank_top")
+
+
+def scaled_ranks(df: DataFrame, key: str, scores: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Average-tie ranks divided by the top rank, in (0, 1]; null values get 0.5.
+
+    ``scores`` maps each output column to (column, inverse). All columns are
+    ranked together in long form and folded back by ``key``.
+    """
+    cols = sorted({c for c, _ in scores.values()})
+    long = df.unpivot([key], [F.col(c).cast("double").alias(c) for c in cols], "_column", "_value")
+    ranks = value_ranks(long.where("_value IS NOT NULL"), "_value", ["_column"]).selectExpr(
+        "_column", "_value", "rank_avg / rank_top AS _up", "(rank_top - rank_avg + 1) / rank_top AS _down")
+    scored = long.join(ranks, ["_column", "_value"], "left")
+    folded = scored.groupBy(key).agg(*[
+        F.expr(f"coalesce(max({'_down' if inverse else '_up'}) FILTER (WHERE _column = '{c}'), 0.5D) AS {out}")
+        for out, (c, inverse) in scores.items()])
+    return df.join(folded, key)
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str] | str, prefer: Sequence[Column] = (),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.operators.ranks import percentiles, scaled_rank, top_k_per_group
+from loadloom.operators.ranks import percentiles, scaled_ranks, top_k_per_group
 
 
 def expand_refs(df: DataFrame, key: str, refs: str, lookup: DataFrame, sep: str = ";", glue: str = " | ") -> DataFrame:
@@ -109,14 +109,12 @@ def flexibility(df: DataFrame, label="cluster") -> DataFrame:
            ELSE 'no clear opportunity' END"""))
 
 
-def risk_proxy(df: DataFrame, parts: Sequence[tuple[str, bool]], cut=0.70) -> DataFrame:
+def risk_proxy(df: DataFrame, parts: Sequence[tuple[str, bool]], cut=0.70, key="user_id") -> DataFrame:
     """Mean of scaled ranks (True marks inverse ranks) and the high-risk flag."""
-    names = []
-    for i, (col, inverse) in enumerate(parts):
-        names.append(f"_k{i}")
-        df = scaled_rank(df, col, names[-1], inverse)
-    score = f"round(({' + '.join(names)}) / {len(names)}, 3)"
-    return df.withColumn("risk_score", F.expr(score)).withColumn("high_risk", F.col("risk_score") >= cut).drop(*names)
+    names = {f"_k{i}": part for i, part in enumerate(parts)}
+    ranked = scaled_ranks(df, key, names)
+    return ranked.withColumn("risk_score", F.expr(f"round(({' + '.join(names)}) / {len(names)}, 3)")).withColumn(
+        "high_risk", F.col("risk_score") >= cut).drop(*names)
 
 
 def risk_summary(df: DataFrame, label="cluster") -> DataFrame:

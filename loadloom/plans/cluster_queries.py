@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from loadloom.functions import columns as C
 from loadloom.operators import clusters, features, matrix, reports, segments
-from loadloom.operators.ranks import scaled_rank
+from loadloom.operators.ranks import scaled_ranks as rank_columns
 from loadloom.plans import roles as R
 from loadloom.plans.feature_queries import context
 from loadloom.plans.registry import query
 from loadloom.plans.roles_sql import ROLES
+from loadloom.sources.stage import stage
 
 ROLES["r_seg"] = """
     SELECT s.*, d.* EXCLUDE (user_id), l.cluster, u.province, u.p1_kw, coalesce(g.coastal_flag, FALSE) AS coastal_flag,
@@ -35,8 +36,9 @@ def seg(spark, sf):
     code = C.activity_code("activity")
     users = users.withColumn("activity_group", F.when(code.cast("int") >= 100, F.substring(code, 1, 1).cast("int"))).drop("activity")
     ctx = context(spark, sf).select("province", "coastal_flag")
-    return (shape.join(features.daily_stats(R.daily(spark, sf), full=1), "user_id").join(R.labels(spark, sf), "user_id")
-            .join(users, "user_id").join(ctx, "province", "left").fillna(False, ["coastal_flag"]))
+    # User grain: written once, since profiles, bands and ranks each pass over it.
+    return stage(shape.join(features.daily_stats(R.daily(spark, sf), full=1), "user_id").join(R.labels(spark, sf), "user_id")
+                 .join(users, "user_id").join(ctx, "province", "left").fillna(False, ["coastal_flag"]))
 
 
 def vectors(spark, sf):
@@ -55,9 +57,9 @@ def _mx(spark, sf):
     d = R.daily(spark, sf)
     shape = features.shape_features(features.hour_cells(R.meter(spark, sf))).select("user_id", "peak_share", "valley_share", "ratio_night_day")
     betas = features.ols2(R.panel(spark, sf), "user_id", "daily_kwh", "hdd", "cdd").select("user_id", "beta_hdd_norm")
-    return (shape.join(features.daily_stats(d, full=1).select("user_id", "mean_daily_kwh", "cv_daily"), "user_id")
-            .join(features.monthly_behaviour(d, full=1).select("user_id", "summer_winter_ratio"), "user_id").join(betas, "user_id", "left")
-            .withColumn("beta_hdd_norm", F.when(F.col("user_id") % 5 != 0, F.col("beta_hdd_norm"))))
+    return stage(shape.join(features.daily_stats(d, full=1).select("user_id", "mean_daily_kwh", "cv_daily"), "user_id")
+                 .join(features.monthly_behaviour(d, full=1).select("user_id", "summer_winter_ratio"), "user_id").join(betas, "user_id", "left")
+                 .withColumn("beta_hdd_norm", F.when(F.col("user_id") % 5 != 0, F.col("beta_hdd_norm"))))
 
 
 _W = {"mean_daily_kwh": 1.0, "cv_daily": 1.6, "peak_share": 1.6, "valley_share": 1.6, "ratio_night_day": 1.6, "summer_winter_ratio": 1.6,
@@ -336,8 +338,9 @@ def category_enrichment(spark, sf):
     return _round(segments.enrichment(seg(spark, sf), "activity_group", min_n=3))
 
 
-@query("top_category", "E16 I23", """SELECT cluster, activity_group, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, activity_group) AS rank
-    FROM r_seg WHERE activity_group IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, activity_group) <= 2""")
+@query("top_category", "E16 I23", """WITH n AS (SELECT cluster, activity_group, count(*) AS n FROM r_seg WHERE activity_group IS NOT NULL GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, activity_group) AS rank FROM n
+    QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, activity_group) <= 2""")
 def top_category(spark, sf):
     return segments.top_categories(seg(spark, sf), "activity_group", k=2)
 
@@ -355,7 +358,7 @@ def flexibility(spark, sf):
     SELECT user_id, round(coalesce(r / max(r) OVER (), 0.5), 8) AS direct, round(coalesce((max(r) OVER () - r + 1) / max(r) OVER (), 0.5), 8) AS inverse FROM k""")
 def scaled_ranks(spark, sf):
     v = R.user_dimension(spark, sf).select("user_id", F.expr("CASE WHEN tariff IS NOT NULL THEN p1_kw END AS p1_kw"))
-    return _round(scaled_rank(scaled_rank(v, "p1_kw", "direct"), "p1_kw", "inverse", True).drop("p1_kw"))
+    return _round(rank_columns(v, "user_id", {"direct": ("p1_kw", False), "inverse": ("p1_kw", True)}).drop("p1_kw"))
 
 
 def _rank_sql(col, inverse):
@@ -370,20 +373,20 @@ _RISK = "WITH k AS (SELECT user_id, cluster, " + ", ".join(
 _PARTS = [("mean_daily_kwh", True), ("seasonal_amplitude_norm", True), ("low_day_rate", False)]
 
 
-def _risk(spark, sf):
-    s = seg(spark, sf).select("user_id", "cluster", *[F.round(c, 9).alias(c) for c, _ in _PARTS])
+def _risk(users):
+    s = users.select("user_id", "cluster", *[F.round(c, 9).alias(c) for c, _ in _PARTS])
     return segments.risk_proxy(s, _PARTS)
 
 
 @query("risk_proxy", "I20 E17", _RISK + "SELECT user_id, cluster, risk_score, risk_score >= 0.7 AS high_risk FROM x")
 def risk_proxy(spark, sf):
-    return _risk(spark, sf).select("user_id", "cluster", "risk_score", "high_risk")
+    return _risk(seg(spark, sf)).select("user_id", "cluster", "risk_score", "high_risk")
 
 
 @query("risk_by_cluster", "I20", _RISK + """SELECT cluster, count(*) AS n, round(avg(risk_score), 3) AS risk_mean, round(100 * avg(CAST(risk_score >= 0.7 AS INTEGER)), 1) AS pct_high_risk,
     round(quantile_cont(risk_score, 0.75), 8) AS risk_p75 FROM x GROUP BY cluster""")
 def risk_by_cluster(spark, sf):
-    return _round(segments.risk_summary(_risk(spark, sf)))
+    return _round(segments.risk_summary(_risk(seg(spark, sf))))
 
 
 _RULE_COLS = ["median_daily_kwh", "mean_daily_kwh", "low_day_rate", "zero_day_rate", "valley_share", "night_share", "peak_share",
@@ -405,8 +408,9 @@ _BUSINESS = """, pr AS (SELECT cluster, CASE WHEN cluster = 0 THEN 'noise' WHEN
 
 @query("business_segments", "B29 I22 C13", _RISK + _BUSINESS + f"SELECT cluster, label, n, pct_high_risk, {_rule_case(0)} AS segment, {_rule_case(1)} AS action, {_rule_case(2)} AS priority FROM j")
 def business_segments(spark, sf):
-    prof = segments.cluster_profiles(seg(spark, sf), _RULE_COLS).withColumn("label", clusters.cluster_label())
-    joined = prof.join(segments.risk_summary(_risk(spark, sf)).select("cluster", "pct_high_risk"), "cluster", "left")
+    users = seg(spark, sf)
+    prof = segments.cluster_profiles(users, _RULE_COLS).withColumn("label", clusters.cluster_label())
+    joined = prof.join(segments.risk_summary(_risk(users)).select("cluster", "pct_high_risk"), "cluster", "left")
     return segments.classify_segments(joined).select("cluster", "label", "n", "pct_high_risk", "segment", "action", "priority")
 
 
