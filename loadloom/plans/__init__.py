@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ("rollup_queries", "scalar_queries", "quality_queries", "weather_queries", "feature_queries", "cluster_queries")
+MODULES = ("rollup_queries", "scalar_queries", "quality_queries", "weather_queries", "feature_queries", "cluster_queries",
+           "forecast_queries")
 
 
 def load_all() -> None:
