@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("rollup_queries", "scalar_queries", "quality_queries", "weather_queries", "feature_queries", "cluster_queries",
-           "forecast_queries")
+           "forecast_queries", "report_queries")
 
 
 def load_all() -> None:
