@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadloom.config import DEFAULT
 from loadloom.functions import aggregates as A
 from loadloom.operators.ranks import order_statistic
+from loadloom.sources.stage import stage
 
 
 def long_predictions(df: DataFrame, models: Sequence[str], keep: Sequence[str], y="y") -> DataFrame:
@@ -110,7 +111,7 @@ def safety_factor(df: DataFrame, resid: str, q: str, by: Sequence[str] = (), tar
 
 def calibrate(df: DataFrame, resid: str, by: Sequence[str], alpha=DEFAULT.alpha, min_factor=1.5) -> DataFrame:
     """Conformal quantile times its safety factor per group."""
-    q = conformal(df, resid, by, alpha, out="qhat_raw").drop("n")
+    q = stage(conformal(df, resid, by, alpha, out="qhat_raw").drop("n"))  # one row per group, used twice
     joined = df.join(F.broadcast(q), list(by))
     f = safety_factor(joined, resid, "qhat_raw", by, 1 - alpha, min_factor)
     return q.join(f, list(by)).selectExpr(*by, "n_calibration", "qhat_raw", "safety_factor", "qhat_raw * safety_factor AS qhat")

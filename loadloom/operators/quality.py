@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loadloom.functions import aggregates as A
 from loadloom.functions import columns as C
 from loadloom.operators import ranks
+from loadloom.sources.stage import stage
 
 
 def user_day_cells(df: DataFrame, user="user_id", ts="ts", value="kwh") -> DataFrame:
@@ -92,12 +93,12 @@ def tail_counts(df: DataFrame, value="kwh", probs: dict[str, float] | None = Non
                 approximate: bool = False) -> DataFrame:
     """Exact tail percentiles of the non-negative values and the number of rows above them.
 
-    The readings are scanned once into distinct-value counts; both the
-    percentiles and the counts come from those. ``approximate`` uses a quantile
+    The readings are scanned once into distinct-value counts, which are written;
+    both the percentiles and the counts come from those. ``approximate`` uses a quantile
     sketch instead, for interactive use on very large inputs.
     """
     probs = probs or {"p95": 0.95, "p99": 0.99, "p999": 0.999}
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k"))
+    counts = stage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k")))
     nonneg = counts.where(F.col(value) >= 0)
     if approximate:
         base = df.where(F.col(value) >= 0)

@@ -203,8 +203,8 @@ def day_dimension(calendar: DataFrame, weather: DataFrame, latitude: DataFrame,
 def merge_daily(daily: DataFrame, users: DataFrame, days: DataFrame, key="province", user="user_id", full=24) -> DataFrame:
     """Complete user-days with their province, weather, daylight and calendar.
 
-    Spark broadcasts ``users`` and ``days`` while they are under the broadcast
-    threshold and shuffles them (with AQE skew splitting) above it.
+    Pass ``days`` through ``broadcast_if_small`` to keep the facts in place while
+    it is small; otherwise both sides are shuffled and AQE splits skewed keys.
     """
     facts = daily.where(C.complete_day(full=full)).join(users.select(user, key), user)
     out = facts.join(days, [key, "date"], "left")

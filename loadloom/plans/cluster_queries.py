@@ -54,9 +54,9 @@ _MX_BASE = "SELECT user_id, mean_daily_kwh, cv_daily, peak_share, valley_share,
 
 
 def _mx(spark, sf):
-    d = R.daily(spark, sf)
+    d = stage(R.daily(spark, sf))
     shape = features.shape_features(features.hour_cells(R.meter(spark, sf))).select("user_id", "peak_share", "valley_share", "ratio_night_day")
-    betas = features.ols2(R.panel(spark, sf), "user_id", "daily_kwh", "hdd", "cdd").select("user_id", "beta_hdd_norm")
+    betas = features.ols2(R.panel(spark, sf, d), "user_id", "daily_kwh", "hdd", "cdd").select("user_id", "beta_hdd_norm")
     return stage(shape.join(features.daily_stats(d, full=1).select("user_id", "mean_daily_kwh", "cv_daily"), "user_id")
                  .join(features.monthly_behaviour(d, full=1).select("user_id", "summer_winter_ratio"), "user_id").join(betas, "user_id", "left")
                  .withColumn("beta_hdd_norm", F.when(F.col("user_id") % 5 != 0, F.col("beta_hdd_norm"))))

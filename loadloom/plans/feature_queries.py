@@ -11,6 +11,7 @@ from loadloom.plans import roles as R
 from loadloom.plans.registry import query
 from loadloom.plans.roles_sql import ROLES
 from loadloom.plans.weather_queries import _CAL, _calendar
+from loadloom.sources.stage import broadcast_if_small, stage
 
 R8 = lambda c: F.round(c, 8)
 
@@ -104,17 +105,20 @@ def context(spark, sf):
         F.when(k % 3 == 0, "dense").when(k % 3 == 1, "medium").alias("density_bucket")))
 
 
-def response_panel(spark, sf):
-    d = R.daily(spark, sf).join(R.meter_province(spark, sf), "user_id").join(_calendar(spark, sf), ["province", "date"])
+def response_panel(spark, sf, daily=None):
+    d = (R.daily(spark, sf) if daily is None else daily).join(R.meter_province(spark, sf), "user_id").join(
+        broadcast_if_small(stage(_calendar(spark, sf))), ["province", "date"])
     return d.withColumn("is_weekend", C.is_weekend("date"))
 
 
 def feature_table(spark, sf):
-    daily = R.daily(spark, sf)
-    p = R.panel(spark, sf)
+    # The daily table feeds five blocks: the hourly fact is rolled up once and written,
+    # as the daily layer of the pipeline is. The weather-joined panel feeds two.
+    daily = stage(R.daily(spark, sf))
+    p = stage(R.panel(spark, sf, daily))
     return features.assemble(
         features.shape_features(features.hour_cells(R.meter(spark, sf))), features.daily_stats(daily, full=1),
-        features.monthly_behaviour(daily, full=1), features.calendar_response(response_panel(spark, sf)),
+        features.monthly_behaviour(daily, full=1), features.calendar_response(response_panel(spark, sf, daily)),
         features.climate_correlation(p), features.ols2(p, "user_id", "daily_kwh", "hdd", "cdd"),
         quality.extremes(R.meter(spark, sf), 6.0, pct_limit=3.0), R.user_dimension(spark, sf), context(spark, sf), tariffs=TARIFFS)
 

@@ -9,6 +9,7 @@ from loadloom.functions import columns as C
 from loadloom.operators import rollups, series
 from loadloom.operators.ranks import latest_per_key
 from loadloom.sources.readers import read_table
+from loadloom.sources.stage import broadcast_if_small, stage
 
 
 # Declared schemas of the input tables.
@@ -99,11 +100,14 @@ def meter_province(spark, sf) -> DataFrame:
         F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("province"))
 
 
-def panel(spark, sf) -> DataFrame:
+def panel(spark, sf, days: DataFrame | None = None) -> DataFrame:
     """Daily energy with the previous day's provincial weather."""
-    w = weather(spark, sf).select("province", F.date_add("date", 1).alias("date"),
-                                  "tmean", "tmax", "tmin", "prec")
-    return (daily(spark, sf).join(meter_province(spark, sf), "user_id")
+    # The weather layer is written first: with its real size known, the large
+    # user-day table is not shuffled for this join while the layer is small.
+    layer = weather(spark, sf).select("province", F.date_add("date", 1).alias("date"), "tmean", "tmax", "tmin", "prec")
+    w = broadcast_if_small(stage(layer))
+    days = daily(spark, sf) if days is None else days
+    return (days.join(meter_province(spark, sf), "user_id")
             .join(w, ["province", "date"], "left")
             .select("user_id", "date", "daily_kwh", "hours_recorded", "province", "tmean", "tmax",
                     "tmin", "prec", C.heating_degrees("tmean").alias("hdd"),

@@ -8,6 +8,7 @@ from loadloom.functions import columns as C
 from loadloom.operators import calendars, weather
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
+from loadloom.sources.stage import broadcast_if_small, stage
 
 R8 = lambda c: F.round(c, 8)
 
@@ -45,7 +46,7 @@ _CAL = f"""
 
 def _calendar(spark, sf):
     keys = R.meter_province(spark, sf).select("province")
-    return calendars.calendar(keys, calendars.spine_of(R.meter(spark, sf)), RULES)
+    return calendars.calendar(keys, calendars.spine_of(R.meter(spark, sf).select("date")), RULES)
 
 
 @query("calendar", "H1 H2 H3 H4 E9 E10 C10 G9", _CAL + "SELECT * FROM cal")
@@ -242,7 +243,7 @@ def merged_panel(spark, sf, weather_layer=None):
     lat = R.meter_province(spark, sf).select("province").distinct().where("province <> '07'").select(
         "province", (F.lit(36) + F.col("province").cast("int") * 0.25).alias("latitude"))
     layer = R.weather(spark, sf) if weather_layer is None else weather_layer
-    days = weather.day_dimension(_calendar(spark, sf), layer, lat)
+    days = broadcast_if_small(stage(weather.day_dimension(_calendar(spark, sf), layer, lat)))
     return weather.merge_daily(R.daily(spark, sf), R.meter_province(spark, sf), days, full=1)
 
 

@@ -15,7 +15,8 @@ READING_SCHEMA = T.StructType([
     T.StructField("imp", T.IntegerType()),
 ])
 
-USER_FILE = r"([0-9a-f]{64})\.csv$"
+USER_FILE = r"([0-9a-f]{64})\.csv"
+ONE_FILE_PER_USER = "[0-9a-f]" * 64 + ".csv"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -23,15 +24,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def read_readings_csv(spark: SparkSession, path: str, name_regex: str = USER_FILE, null: str = "NA") -> DataFrame:
-    """Reading files, one per user; the user id is the file's 64-character name.
+def read_readings_csv(spark: SparkSession, path: str, name_regex: str = USER_FILE, null: str = "NA",
+                      file_glob: str = ONE_FILE_PER_USER) -> DataFrame:
+    """Reading files named by their user: the id is the 64-character name.
 
     The schema is explicit, so no inference pass runs. Other files in the folder
-    are skipped before they are opened.
+    are skipped before they are opened. A user may also be a folder
+    ``<id>.csv`` of part files, read with ``file_glob="*.csv"``.
     """
-    hexes = "[0-9a-f]" * 64
     raw = (spark.read.schema(READING_SCHEMA).option("header", True).option("nullValue", null)
-           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("pathGlobFilter", f"{hexes}.csv").csv(path))
+           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("recursiveFileLookup", True)
+           .option("pathGlobFilter", file_glob).csv(path))
     user = F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1)
     return raw.select(user.alias("user_id"), F.col("index").alias("ts"), F.year("index").alias("year"),
                       F.month("index").alias("month"), F.col("kWh").cast("float").alias("kwh"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -36,3 +37,14 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a table whose files are known to be small, else the table as it is.
+
+    Meant for tables read straight from files, where the plan's size is the size
+    of the files. Without the hint the join is a shuffle join that AQE may still
+    switch or split at run time.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= limit else df
