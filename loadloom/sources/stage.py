@@ -46,5 +46,5 @@ def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     of the files. Without the hint the join is a shuffle join that AQE may still
     switch or split at run time.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= limit else df
