@@ -113,9 +113,9 @@ def response_panel(spark, sf, daily=None):
 
 def feature_table(spark, sf):
     # The daily table feeds five blocks: the hourly fact is rolled up once and written,
-    # as the daily layer of the pipeline is. The weather-joined panel feeds two.
+    # as the daily layer of the pipeline is.
     daily = stage(R.daily(spark, sf))
-    p = stage(R.panel(spark, sf, daily))
+    p = R.panel(spark, sf, daily)
     return features.assemble(
         features.shape_features(features.hour_cells(R.meter(spark, sf))), features.daily_stats(daily, full=1),
         features.monthly_behaviour(daily, full=1), features.calendar_response(response_panel(spark, sf, daily)),
