@@ -44,18 +44,23 @@ def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: st
         F.sum("_bn").over(group).alias("total"), F.max(F.struct("_bucket", "_bt")).over(group)["_bt"].alias("n_top"))
     inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = null_safe_join(counts, offsets, [*by, "_bucket"])
+    joined = null_safe_join(counts, offsets, by, ["_bucket"])
     return joined.select(
         *by, value, "n",
         (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total", "n_top")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how="inner") -> DataFrame:
-    """Equi-join that treats null keys as equal and keeps one copy of each key."""
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in on],
-                         *[c for c in right.columns if c not in on])
-    cond = " AND ".join(f"{k} <=> _r_{k}" for k in on)
-    return left.join(right, F.expr(cond), how).drop(*[f"_r_{k}" for k in on])
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], never_null: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that treats null keys as equal and keeps one copy of each key.
+
+    Keys listed in ``never_null`` are compared plainly, so that a shuffle for the
+    join also serves windows on them.
+    """
+    keys = [*on, *never_null]
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+    cond = " AND ".join([f"{k} = _r_{k}" for k in never_null] + [f"{k} <=> _r_{k}" for k in on])
+    return left.join(right, F.expr(cond)).drop(*[f"_r_{k}" for k in keys])
 
 
 def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),

@@ -109,11 +109,11 @@ def flexibility(df: DataFrame, label="cluster") -> DataFrame:
            ELSE 'no clear opportunity' END"""))
 
 
-def risk_proxy(df: DataFrame, parts: Sequence[tuple[str, bool]], cut=0.70, key="user_id") -> DataFrame:
+def risk_proxy(df: DataFrame, parts: Sequence[tuple[str, bool]], cut=0.70, key="user_id", digits=3) -> DataFrame:
     """Mean of scaled ranks (True marks inverse ranks) and the high-risk flag."""
     names = {f"_k{i}": part for i, part in enumerate(parts)}
     ranked = scaled_ranks(df, key, names)
-    return ranked.withColumn("risk_score", F.expr(f"round(({' + '.join(names)}) / {len(names)}, 3)")).withColumn(
+    return ranked.withColumn("risk_score", F.expr(f"round(({' + '.join(names)}) / {len(names)}, {digits})")).withColumn(
         "high_risk", F.col("risk_score") >= cut).drop(*names)
 
 

@@ -368,14 +368,14 @@ def _rank_sql(col, inverse):
 
 _RISK = "WITH k AS (SELECT user_id, cluster, " + ", ".join(
     f"{_rank_sql(c, i)[0]} AS r{n}" for n, (c, i) in enumerate((("mean_daily_kwh", True), ("seasonal_amplitude_norm", True), ("low_day_rate", False)))) + """ FROM r_seg),
-    x AS (SELECT user_id, cluster, round(((max(r0) OVER () - r0 + 1) / max(r0) OVER () + (max(r1) OVER () - r1 + 1) / max(r1) OVER () + r2 / max(r2) OVER ()) / 3, 3)::DOUBLE AS risk_score FROM k)
+    x AS (SELECT user_id, cluster, round(((max(r0) OVER () - r0 + 1) / max(r0) OVER () + (max(r1) OVER () - r1 + 1) / max(r1) OVER () + r2 / max(r2) OVER ()) / 3, 8)::DOUBLE AS risk_score FROM k)
     """
 _PARTS = [("mean_daily_kwh", True), ("seasonal_amplitude_norm", True), ("low_day_rate", False)]
 
 
 def _risk(users):
     s = users.select("user_id", "cluster", *[F.round(c, 9).alias(c) for c, _ in _PARTS])
-    return segments.risk_proxy(s, _PARTS)
+    return segments.risk_proxy(s, _PARTS, digits=8)
 
 
 @query("risk_proxy", "I20 E17", _RISK + "SELECT user_id, cluster, risk_score, risk_score >= 0.7 AS high_risk FROM x")
