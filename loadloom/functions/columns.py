@@ -107,6 +107,11 @@ def month_start(date) -> Column:
     return F.trunc(_c(date), "month")
 
 
+def hour_start(ts: str) -> Column:
+    """Start of the hour of a zone-less timestamp, independent of the session time zone."""
+    return F.expr(f"make_timestamp_ntz(year({ts}), month({ts}), day({ts}), hour({ts}), 0, 0)")
+
+
 def cyclic(col, period, harmonic=1) -> tuple[Column, Column]:
     angle = _c(col) * F.lit(2.0 * harmonic) * F.pi() / F.lit(float(period))
     return F.sin(angle), F.cos(angle)

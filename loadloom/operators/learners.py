@@ -110,7 +110,7 @@ def rolling_origin(df: DataFrame, date: str, cutoffs: Sequence[str], fit: Callab
 def group_mean_model(train: DataFrame, test: DataFrame, y: str, keys: Sequence[str], out="pred") -> DataFrame:
     """Mean of the training rows with the same keys (for example month and weekday)."""
     means = train.groupBy(*keys).agg(F.avg(y).alias(out))
-    return test.join(F.broadcast(means), list(keys), "left")
+    return test.join(means, list(keys), "left")
 
 
 def enough_rows(df: DataFrame, group: str, split="split", need=(("train", 200), ("val", 30), ("test", 5))) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadloom.functions import columns as C
 from loadloom.operators import forecast_eval as E, learners, reconcile, series
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
@@ -59,11 +60,10 @@ def cluster_lags(spark, sf):
       round(sin(2 * pi() * hour(datetime) / 24), 8) AS sin_h, round(cos(2 * pi() * hour(datetime) / 24), 8) AS cos_h
     FROM h WINDOW f24 AS (ORDER BY datetime ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), f168 AS (ORDER BY datetime ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)""")
 def hourly_lags(spark, sf):
-    from loadloom.functions.columns import cyclic
-    h = (R.readings(spark, sf).where("kwh >= 0").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"))
+    h = (R.readings(spark, sf).where("kwh >= 0").groupBy(C.hour_start("ts").alias("datetime"))
          .agg(F.sum("kwh").alias("y")))
     p = series.add_lags(h, "y", "datetime", lags=(1, 24, 48, 168, 336), means=(24, 168))
-    s, c = cyclic(F.hour("datetime"), 24)
+    s, c = C.cyclic(F.hour("datetime"), 24)
     return _round(p.withColumns({"sin_h": s, "cos_h": c}))
 
 
@@ -173,7 +173,7 @@ def special_day_slices(spark, sf):
     WITH h AS (SELECT date_trunc('hour', ts) AS t, sum(kwh) AS y FROM r_readings WHERE kwh >= 0 GROUP BY 1), p AS (SELECT t, y, lag(y, 24) OVER (ORDER BY t) AS pred FROM h)
     SELECT hour(t) AS hour, round(avg(y), 6) AS actual, round(avg(pred), 6) AS predicted, round(avg(y - pred), 6) AS residual FROM p GROUP BY 1""")
 def hourly_error_profile(spark, sf):
-    h = (R.readings(spark, sf).where("kwh >= 0").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(F.sum("kwh").alias("y")))
+    h = (R.readings(spark, sf).where("kwh >= 0").groupBy(C.hour_start("ts").alias("t")).agg(F.sum("kwh").alias("y")))
     p = series.add_lags(h, "y", "t", lags=(24,))
     return _round(p.groupBy(F.hour("t").alias("hour")).agg(F.avg("y").alias("actual"), F.avg("lag24").alias("predicted"),
                                                          F.avg(F.expr("y - lag24")).alias("residual")), 6)

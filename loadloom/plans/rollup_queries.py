@@ -112,7 +112,7 @@ def portfolio_daily(spark, sf):
 def portfolio_hourly(spark, sf):
     # The semi-join runs on (user, hour) sums, so a user with very many readings is already small.
     per_user = (R.readings(spark, sf).where(C.valid_reading())
-                .groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"))
+                .groupBy("user_id", C.hour_start("ts").alias("datetime"))
                 .agg(F.sum("kwh").alias("kwh")))
     scoped = per_user.join(R.user_dimension(spark, sf).select("user_id"), "user_id", "left_semi")
     return rollups.target_series(scoped, value="kwh", when=["datetime"])
