@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadloom.llm import packing, sharding, simhash, tokens
+from loadloom.llm import packing, sharding, simhash, substring, tokens
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), sharding.balanced_tree(24), sharding.balanced_tree(25))
 
 
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
