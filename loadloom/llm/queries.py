@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadloom.llm import packing, sharding, simhash, substring, tokens
+from loadloom.llm import decontaminate, packing, sharding, simhash, substring, tokens
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_words(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
