@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadloom.llm import decontaminate, packing, sharding, simhash, substring, tokens, toxicity
+from loadloom.llm import decontaminate, embedding_dedup, packing, sharding, simhash, substring, tokens, toxicity
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op3_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_words(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
