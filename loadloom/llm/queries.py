@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadloom.llm import decontaminate, embedding_dedup, packing, sharding, simhash, substring, tokens, toxicity
+from loadloom.llm import decontaminate, embedding_dedup, lm_score, packing, sharding, simhash, substring, tokens, toxicity
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read(spark, sf_dir, "documents"))
