@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loadloom.llm import decontaminate, embedding_dedup, lm_score, packing, sharding, simhash, substring, tokens, toxicity
+from loadloom.llm import decontaminate, embedding_dedup, licenses, lm_score, packing, sharding, simhash, substring, tokens, toxicity
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,17 @@ def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as source/lang/hundreds/id; every hundredth is its folder's licence file, every thousandth its parent's."""
+    folder = F.concat_ws("/", "source", "lang")
+    block = F.floor(F.col("doc_id") / 100).cast("string")
+    path = (F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", folder, F.lit("LICENSE")))
+            .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", folder, block, F.lit("LICENSE")))
+            .otherwise(F.concat_ws("/", folder, block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+    return licenses.scan(read(spark, sf_dir, "documents").withColumn("path", path))
+
+
 @query
 def op10_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(read(spark, sf_dir, "documents"))
