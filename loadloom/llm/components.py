@@ -14,16 +14,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round hangs the larger neighbours of a node, and then the smaller ones, on its
     smallest neighbour, until every link points to the smallest node of its component.
     The neighbourhood of a node is only ever folded to its minimum (combined before the
-    shuffle) and joined back, so a hub needs no task of its own. Every half round is a
-    written table. Null ends and loops are ignored; no links give no rows.
+    shuffle), written, and joined back as a second shuffled side, so that a hub's links can be
+    split over tasks. Every half round is a written table. Null ends and loops are ignored; no links give no rows.
     """
     e = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         e = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(e.groupBy("u").agg(F.min("v").alias("m")))
         hung = e.join(low, "u")
         e = stage(hung.select(F.col("u"), F.col("m").alias("v")).union(hung.where("v <> m").select("v", "m")).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -133,7 +133,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     ignored; an empty benchmark hits nothing, no documents give no rows.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), c.text_of(item_text).alias("text"), c.text_key(item_text).alias("key"))
-    texts = items.groupBy("key").agg(F.first("text").alias("text"))
+    texts = stage(items.groupBy("key").agg(F.first("text").alias("text")))
+    names = stage(items.select(F.col("key").alias("item_key"), "item_id").distinct())
     kinds = "id {}, key binary, n_words long, hashes array<long>, places array<int>"
     own = stage(texts.select(F.lit(None).cast("string").alias("id"), "text", "key")
                 .mapInArrow(_prints(window, gram, list(range(1, window)), None, True), kinds.format("string")))
@@ -156,7 +157,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     grown = (base.join(hits.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(hits, "key").select("key", "text", "hits")
              .mapInArrow(_extend(window), "key binary, n_hit long, items array<binary>"))
     grown = stage(grown.where("n_hit > 0"))
-    listed = (grown.select("key", F.explode("items").alias("item_key")).join(items.select(F.col("key").alias("item_key"), "item_id").distinct(), "item_key")
+    listed = (grown.select("key", F.explode("items").alias("item_key")).join(names, "item_key")
               .groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
     verdict = stage(grown.select("key", "n_hit").join(listed, "key", "left"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))

@@ -133,7 +133,7 @@ def near_links(fps: DataFrame, distance: int = 2, pair_limit: int = 1 << 24) ->
                 yield pa.RecordBatch.from_arrays([pa.array(part[r]), pa.array(a), pa.array(own)], ["fp", "anchor", "home"])
 
     sent = fps.select("fp").mapInArrow(send, "fp long, anchor long, home boolean")
-    load = (sent.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n"))
+    load = stage(sent.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n"))
             .select("anchor", F.ceil(F.col("h") * F.col("n") / F.lit(float(pair_limit))).cast("int").alias("parts")).where("parts > 0"))
     dealt = (sent.join(load, "anchor")
              .withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0)))

@@ -189,7 +189,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, gr
 
     runs = texts.select("key", "m", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("starts").alias("start"), F.col("spans").alias("span"))).alias("r"))
     runs = runs.select("key", "m", "r.*")
-    often = runs.groupBy("anchor").agg(F.sum("m").alias("n")).where("n > 1")
+    # written, so that the join has two shuffled sides and a frequent anchor can be split
+    often = stage(runs.groupBy("anchor").agg(F.sum("m").alias("n")).where("n > 1"))
     hits = runs.join(often, "anchor")
     per_text = hits.groupBy("key").agg(F.first("m").alias("m"), F.collect_list(F.struct("start", "span", "anchor", "n")).alias("runs"))
     bodies = stage(base.groupBy("key").agg(F.first("text").alias("text")).join(per_text, "key").select("key", "text", "m", "runs")
