@@ -117,13 +117,15 @@ def linked(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec
     basis = {d: leading_axes([r[0] for r in classes.where(F.col("dim") == d).orderBy(F.xxhash64("h1"), "node").limit(sample_rows).select("v").collect()], axes)
              for d in dims}
 
+    width = max(axes, 4)
+
     def locate(batches):
         for b in batches:
             dim = b.column(2).to_numpy()
             for d in np.unique(dim):
                 part = b.filter(pa.array(dim == d))
                 units = unit_rows(_matrix(part.column(1)))
-                xy = np.zeros((len(units), axes))
+                xy = np.zeros((len(units), width))
                 xy[:, :basis[int(d)].shape[1]] = units @ basis[int(d)]
                 cells = np.floor(xy[:, :4] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -140,7 +142,7 @@ def linked(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec
         size = 0
 
         def rows_of(t: pa.Table):
-            xy = np.frombuffer(b"".join(t["xy"].to_pylist())).reshape(-1, axes)
+            xy = np.frombuffer(b"".join(t["xy"].to_pylist())).reshape(-1, width)
             return {"label": t["label"][0].as_py(), "dim": t["dim"][0].as_py(), "lo": xy.min(0).tolist(), "hi": xy.max(0).tolist(),
                     "nodes": t["node"].to_numpy().tobytes(), "weights": t["weight"].to_numpy().tobytes(),
                     "units": b"".join(t["unit"].to_pylist()), "coords": b"".join(t["xy"].to_pylist())}
