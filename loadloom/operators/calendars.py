@@ -41,8 +41,8 @@ def easter(year: str) -> Column:
 
 def national_holiday(date: str, easter_sunday: str) -> Column:
     """Listed days in the years with an official list, the yearly rule in all others."""
-    years = ", ".join(map(str, NATIONAL_HOLIDAYS))
-    listed = ", ".join(f"DATE'{y}-{md}'" for y, text in NATIONAL_HOLIDAYS.items() for md in text.split())
+    years = ", ".join(sorted({d[:4] for d in NATIONAL_HOLIDAYS}))
+    listed = ", ".join(f"DATE'{d}'" for d in NATIONAL_HOLIDAYS)
     fixed = ", ".join(str(m * 100 + d) for m, d in FIXED_NATIONAL)
     return F.expr(f"""CASE WHEN year({date}) IN ({years}) THEN {date} IN ({listed})
         ELSE month({date}) * 100 + day({date}) IN ({fixed}) OR datediff({date}, {easter_sunday}) = -2 END""")

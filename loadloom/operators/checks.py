@@ -54,7 +54,7 @@ class CheckFailed(ValueError):
 
 
 def expect_no_fail(checks: DataFrame) -> DataFrame:
-    failed = checks.where("status = 'fail'").select("check_id").limit(20).collect()
+    failed = checks.where("status = 'fail'").select("check_id").collect()
     if failed:
         raise CheckFailed(", ".join(r.check_id for r in failed))
     return checks

@@ -73,8 +73,10 @@ def fit_regressor(kind: str, train: DataFrame, val: DataFrame, test: DataFrame,
             fit_on = both if kind == "gbt" else both.where(~F.col("_val"))
             model = _estimator(kind, "_y", seed, **params, **fixed, **extra).fit(fit_on)
             score = predict(model, both.where("_val")).agg(A.mae(y, "pred").alias("s")).first()["s"]
-            if best is None or (score is not None and score < best[0]):
+            if score is not None and (best is None or score < best[0]):
                 best = (score, params, model)
+        if best is None:
+            raise ValueError("no candidate has a validation score: the validation rows are empty")
         final = dict(best[1], **fixed)
         if kind == "gbt":
             final["maxIter"] = max(1, best[2].getNumTrees)
