@@ -14,6 +14,8 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
+_DEFAULT_BATCH = "67108864b"
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -36,6 +38,32 @@ def partitions(df: DataFrame, rows: int, per_partition: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+def in_small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """The table, after bounding the bytes of the Arrow batches that its session sends to Python.
+
+    The default bound suits short rows; with whole texts, a batch is held by the JVM, the pipe
+    and Python at once, for every core of an executor. A bound that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == _DEFAULT_BATCH:
+        df.sparkSession.conf.set(name, size)
+    return df
+
+
+def text_parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 texts) of consecutive rows, about ``limit`` bytes at a time; a longer text is alone."""
+    at, part, size = 0, [], 0
+    for i, x in enumerate(column):
+        raw = x.as_py().encode()
+        if part and size + len(raw) > limit:
+            yield at, part
+            at, part, size = i, [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        yield at, part
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """One table per run of equal keys in a stream that is sorted by them; runs may span batches."""
     held: list[pa.Table] = []

@@ -43,19 +43,13 @@ def whole(h: np.ndarray, doc_of: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return c.mix(g[ok] + np.uint64(n)), ok
 
 
-def _prints(window: int, gram: int, lengths: list[int], wanted: np.ndarray | None, items: bool, part_bytes: int = 4 << 20):
+def _prints(window: int, gram: int, lengths: list[int], wanted: np.ndarray | None, items: bool):
     """Fingerprints of texts. Sequences shorter than a window are published for the given lengths, by items only at their own."""
 
     def run(batches):
         for b in batches:
-            texts = [t.as_py().encode().translate(_CUT) for t in b.column(1)]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= part_bytes):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
+            for at, texts in c.text_parts(b.column(1)):
+                part = [t.translate(_CUT) for t in texts]
                 buf, offsets = c.joined(part)
                 starts, ends = c.word_bounds(buf, c.SPACES)
                 first = np.searchsorted(starts, offsets)
@@ -77,9 +71,8 @@ def _prints(window: int, gram: int, lengths: list[int], wanted: np.ndarray | Non
                 d = doc_of[p] if len(p) else np.zeros(0, np.int64)
                 cuts = np.searchsorted(d, np.arange(len(part) + 1))
                 lists = (pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (c.as_long(v), (p - first[d]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), pa.array(n), *lists],
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), b.column(2).slice(at, len(part)), pa.array(n), *lists],
                                                  ["id", "key", "n_words", "hashes", "places"])
-                at = end
     return run
 
 
@@ -145,7 +138,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         wanted = np.unique(np.array([r[0] for r in marks.select("h").distinct().collect()], np.int64))
 
     kind = dict(docs.dtypes)[id_col]
-    made = stage(docs.select(F.col(id_col).alias("id"), c.text_of(text_col).alias("text"), c.text_key(text_col).alias("key"))
+    made = stage(c.in_small_batches(docs).select(F.col(id_col).alias("id"), c.text_of(text_col).alias("text"), c.text_key(text_col).alias("key"))
                  .mapInArrow(_prints(window, gram, sorted(short), wanted, False), kinds.format(kind)))
     prints = (made.where("size(hashes) > 0").select("key", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("p"))).alias("f"))
               .select("key", "f.*").distinct())

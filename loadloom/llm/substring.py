@@ -37,17 +37,10 @@ def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def _anchors(window: int, gram: int, part_bytes: int = 4 << 20):
+def _anchors(window: int, gram: int):
     def run(batches):
         for b in batches:
-            keys, texts = b.column(0), [t.as_py().encode() for t in b.column(1)]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= part_bytes):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
+            for at, part in c.text_parts(b.column(1)):
                 buf, offsets = c.joined(part)
                 starts, ends = c.word_bounds(buf, c.SPACES)
                 first = np.searchsorted(starts, offsets)
@@ -57,10 +50,9 @@ def _anchors(window: int, gram: int, part_bytes: int = 4 << 20):
                 cuts = np.searchsorted(d, np.arange(len(part) + 1))
                 sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in part]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, end - at), pa.array(np.diff(first)), pa.array(sha), _lists(cuts, c.as_long(a), pa.int64()),
+                    [b.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(sha), _lists(cuts, c.as_long(a), pa.int64()),
                      _lists(cuts, s - first[d], pa.int32()), _lists(cuts, n, pa.int16())],
                     ["key", "n_words", "sha", "anchors", "starts", "spans"])
-                at = end
     return run
 
 
@@ -153,18 +145,19 @@ def _search(window: int, shard_words: int):
 def _strip(batches):
     """Take the spans out of each text."""
     for b in batches:
-        gone, sha, kept_text = [], [], []
-        for text, spans in zip(b.column(1), b.column(2)):
-            words = text.as_py().encode().split()
-            keep = np.ones(len(words), bool)
-            for s in spans.as_py():
-                keep[s["lo"]:s["hi"]] = False
-            kept = b" ".join([words[i] for i in np.flatnonzero(keep)])
-            gone.append(len(words) - int(keep.sum()))
-            sha.append(hashlib.sha256(kept).hexdigest())
-            kept_text.append(kept.decode())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept_text)],
-                                         ["key", "n_removed", "sha", "kept"])
+        for at, part in c.text_parts(b.column(1)):
+            gone, sha, kept_text = [], [], []
+            for text, spans in zip(part, b.column(2).slice(at, len(part))):
+                words = text.split()
+                keep = np.ones(len(words), bool)
+                for s in spans.as_py():
+                    keep[s["lo"]:s["hi"]] = False
+                kept = b" ".join([words[i] for i in np.flatnonzero(keep)])
+                gone.append(len(words) - int(keep.sum()))
+                sha.append(hashlib.sha256(kept).hexdigest())
+                kept_text.append(kept.decode())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept_text)],
+                                             ["key", "n_removed", "sha", "kept"])
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, gram: int = 8, crowded: int = 2000,
@@ -182,7 +175,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, gr
     it spread over all shards. Copies of a text are one text with a weight.
     """
     key = c.text_key(text_col)
-    base = docs.select(key.alias("key"), c.text_of(text_col).alias("text"))
+    base = c.in_small_batches(docs).select(key.alias("key"), c.text_of(text_col).alias("text"))
     made = base.mapInArrow(_anchors(window, gram), "key binary, n_words long, sha string, anchors array<long>, starts array<int>, spans array<short>")
     first = [F.first(x).alias(x) for x in ("n_words", "sha", "anchors", "starts", "spans")]
     texts = stage(made.groupBy("key").agg(F.count("*").alias("m"), *first))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import mix, text_of
+from loadloom.llm.common import in_small_batches, mix, text_of
 
 _WORD = re.compile(r"\w+")
 
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    return (docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return (in_small_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
             .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
@@ -221,4 +221,4 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
             keep = model.score(_logits(model, b.column(at))) < threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
