@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,3 +412,37 @@ def test_word_model_is_a_distribution():
     first = m.log2_words([bytes([b]) for b in range(256) if b != 0x20])
     assert 0 < np.exp2(first).sum() <= 1.001
     assert m.log2_words([b"abc"])[0] > m.log2_words([b"\xf0\x01\x02"])[0]
+
+
+def test_probabilities_of_all_texts_sum_to_one():
+    """The history's share is taken from the end of the text as well as from its words."""
+    from itertools import product
+
+    log2 = np.log2(np.array([0.06, 0.04]))
+    total = 0.0
+    for n in range(13):
+        for text in product((0, 1), repeat=n):
+            ids = np.array(text, np.int64)
+            total += 2.0 ** lm_score.with_history(ids, log2[ids], np.log2(0.9))
+    assert 0.998 < total <= 1 + 1e-9
+    assert lm_score.with_history(np.zeros(0, np.int64), np.zeros(0), -1.5) == -1.5
+
+
+def test_text_parts_and_batch_bound(spark):
+    from loadloom.llm import common
+
+    texts = ["a" * 10, "", "b" * 500, "c", "d" * 95, "e" * 4]
+    got = list(common.text_parts(pa.array(texts), 100))
+    assert [t.decode() for _, part in got for t in part] == texts
+    assert [at for at, _ in got] == [0, 2, 3] and all(sum(map(len, p)) <= 100 or len(p) == 1 for _, p in got)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3m")
+        common.in_small_batches(spark.range(1))
+        assert spark.conf.get(name) == "3m"
+        spark.conf.unset(name)
+        common.in_small_batches(spark.range(1))
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.set(name, before)
