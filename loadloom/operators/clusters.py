@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadloom.config import DEFAULT
-from loadloom.operators.ranks import hash_sample, percentiles, top_k_per_group
-
-MAX_SAMPLE = 10_000
+from loadloom.operators.ranks import percentiles, top_k_per_group
 
 
 def fit_clusters(df: DataFrame, algo: str, k: int, features="pcs", seed=DEFAULT.seed, starts=3):
@@ -26,18 +22,18 @@ def fit_clusters(df: DataFrame, algo: str, k: int, features="pcs", seed=DEFAULT.
     """
     vec = df.withColumn("_x", array_to_vector(F.col(features)))
     common = {"featuresCol": "_x", "predictionCol": "_p", "k": k}
+    # Inputs are cached once for all starts and iterations.
+    cached = vec.select("_x").persist()
     if algo == "kmeans":
-        # Inputs are cached once for all starts and iterations.
-        cached = vec.select("_x").persist()
         models = [KMeans(seed=seed + k + 1000 * s, maxIter=100, **common).fit(cached) for s in range(starts)]
         model = min(models, key=lambda m: m.summary.trainingCost)
-        cached.unpersist()
     elif algo == "bisecting":
-        model = BisectingKMeans(seed=seed + 200 + k, **common).fit(vec)
+        model = BisectingKMeans(seed=seed + 200 + k, **common).fit(cached)
     elif algo == "gmm":
-        model = GaussianMixture(seed=seed + 300 + k, maxIter=50, **common).fit(vec)
+        model = GaussianMixture(seed=seed + 300 + k, maxIter=50, **common).fit(cached)
     else:
         raise ValueError(f"unknown algorithm {algo!r}")
+    cached.unpersist()
     labelled = model.transform(vec).withColumn("cluster", (F.col("_p") + 1).cast("int"))
     return labelled.select(*df.columns, "cluster"), model
 
@@ -80,73 +76,37 @@ def representatives(df: DataFrame, label="cluster", distance="distance", key="us
     return top_k_per_group(df, [label], [F.col(distance), F.col(key)], k, "representative_rank")
 
 
-def full_indices(df: DataFrame, features: str, label="cluster") -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin over all rows, from per-cluster moments."""
+def internal_indices(df: DataFrame, features: str, label="cluster") -> DataFrame:
+    """Calinski-Harabasz, Davies-Bouldin, silhouette and Dunn over all rows, O(n k), from per-cluster moments.
+
+    The silhouette uses squared distances, whose mean from a row to a cluster is the squared distance
+    to its centroid plus the cluster's mean squared spread; a row alone in its cluster counts 0. Dunn is
+    the smallest distance of two centroids over the largest diameter, taken as twice the mean
+    distance to the centroid. Only one packed row of cluster moments is broadcast.
+    """
     d = centroid_distance(df, features, label, "_d")
     spread = d.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("s"), F.sum(F.col("_d") ** 2).alias("w"))
     packed = spread.join(centroids(df, features, label), label).agg(
-        F.collect_list(F.struct("n", "s", "w", "centroid")).alias("g"))
+        F.collect_list(F.struct(F.col(label).alias("id"), "n", "s", "w", "centroid")).alias("g"))
     grand = ("transform(g[0].centroid, (x, j) -> aggregate(g, 0D, (a, c) -> a + c.n * c.centroid[j]) / "
              "aggregate(g, 0L, (a, c) -> a + c.n))")
     p = packed.selectExpr("g", f"{grand} AS m", "size(g) AS k", "aggregate(g, 0L, (a, c) -> a + c.n) AS n")
     between = f"aggregate(g, 0D, (a, c) -> a + c.n * {_sq('c.centroid', 'm')})"
     within = "aggregate(g, 0D, (a, c) -> a + c.w)"
-    ratio = f"(a.s + b.s) / nullif(sqrt({_sq('a.centroid', 'b.centroid')}), 0D)"
-    worst = f"array_max(transform(g, b -> {ratio}))"
-    return p.selectExpr("k AS n_clusters", "n AS n_rows",
-                        f"try_divide({between} / nullif(k - 1, 0), {within} / nullif(n - k, 0)) AS calinski_harabasz",
-                        f"aggregate(transform(g, a -> {worst}), 0D, (s, v) -> s + v) / k AS davies_bouldin")
-
-
-def sampled_indices(df: DataFrame, features: str, label="cluster", key="user_id", sample_n=4000,
-                    seed=DEFAULT.seed) -> DataFrame:
-    """Silhouette and Dunn on a bounded sample, exact within the sample.
-
-    The sample (at most ``MAX_SAMPLE`` rows) is broadcast; each task compares its
-    own rows with it block by block, and only one summary row per input row leaves the task.
-    """
-    if sample_n > MAX_SAMPLE:
-        raise ValueError(f"sample_n is limited to {MAX_SAMPLE}")
-    sample = hash_sample(df.select(key, label, features), key, sample_n, seed)
-    rows = sample.collect()
-    x = np.array([r[features] for r in rows], dtype="float64")
-    y = np.array([r[label] for r in rows])
-    shared = df.sparkSession.sparkContext.broadcast((x, y))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xs, ys = shared.value
-        groups = {g: np.flatnonzero(ys == g) for g in np.unique(ys)}
-        for pdf in batches:
-            a = np.array(pdf["x"].tolist(), dtype="float64")
-            own = pdf["y"].to_numpy()
-            sil, near, far = [], [], []
-            for lo in range(0, len(a), 256):
-                part = a[lo:lo + 256]
-                dist = np.sqrt(((part[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2))
-                for i in range(len(part)):
-                    g = own[lo + i]
-                    mates = dist[i, groups[g]]
-                    others = [dist[i, idx] for h, idx in groups.items() if h != g]
-                    far.append(float(mates.max()))
-                    near.append(min((float(o.min()) for o in others), default=None))
-                    if len(mates) < 2 or not others:
-                        sil.append(0.0)
-                        continue
-                    inner = float(mates.sum() / (len(mates) - 1))
-                    outer = min(float(o.mean()) for o in others)
-                    top = max(inner, outer)
-                    sil.append((outer - inner) / top if top > 0 else 0.0)
-            yield pd.DataFrame({"s": sil, "near": near, "far": far})
-
-    src = sample.select(F.col(features).alias("x"), F.col(label).alias("y"))
-    per_row = src.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(
-        block, "s double, near double, far double")
-    return per_row.agg(F.avg("s").alias("silhouette"),
-                       F.try_divide(F.min("near"), F.max("far")).alias("dunn"), F.count(F.lit(1)).alias("n_sample"))
-
-
-def internal_indices(df: DataFrame, features: str, label="cluster", key="user_id", sample_n=4000, seed=DEFAULT.seed) -> DataFrame:
-    return full_indices(df, features, label).crossJoin(sampled_indices(df, features, label, key, sample_n, seed))
+    apart = f"sqrt({_sq('a.centroid', 'b.centroid')})"
+    worst = f"array_max(transform(g, b -> (a.s + b.s) / nullif({apart}, 0D)))"
+    nearest = f"array_min(transform(filter(g, b -> b.id <> a.id), b -> {apart}))"
+    one = p.selectExpr("k AS n_clusters", "n AS n_rows",
+                       f"try_divide({between} / nullif(k - 1, 0), {within} / nullif(n - k, 0)) AS calinski_harabasz",
+                       f"aggregate(transform(g, a -> {worst}), 0D, (s, v) -> s + v) / k AS davies_bouldin",
+                       f"try_divide(array_min(transform(g, a -> {nearest})), array_max(transform(g, a -> 2 * a.s))) AS dunn")
+    means = f"transform(g, c -> struct(c.id AS id, c.n AS n, {_sq(features, 'c.centroid')} + c.w / c.n AS d))"
+    per_row = (df.select(label, features).crossJoin(F.broadcast(packed)).select(label, F.expr(means).alias("_m"))
+               .selectExpr(f"filter(_m, c -> c.id = {label})[0] AS own", f"array_min(transform(filter(_m, c -> c.id <> {label}), c -> c.d)) AS outer")
+               .selectExpr("own.n AS n", "own.d * own.n / nullif(own.n - 1, 0) AS inner", "outer"))
+    silhouette = per_row.agg(F.expr(
+        "avg(CASE WHEN n > 1 AND outer IS NOT NULL AND greatest(inner, outer) > 0 THEN (outer - inner) / greatest(inner, outer) ELSE 0D END)").alias("silhouette"))
+    return one.crossJoin(silhouette)
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -78,6 +78,9 @@ def profile_bundle(df: DataFrame, user="user_id", ts="ts", value="kwh") -> DataF
 
 def target_series(df: DataFrame, value="daily_kwh", when: Sequence = ("date",), by: Sequence[str] = (),
                   user="user_id", extra: Sequence = ()) -> DataFrame:
-    """Total and distinct users per period, optionally per group (a demand series)."""
+    """Total and users per period, optionally per group (a demand series).
+
+    The input has one row per (user, period), so users are counted in the same pass as the total.
+    """
     return (df.groupBy(*when, *by)
-            .agg(F.sum(value).alias("total_kwh"), F.countDistinct(user).alias("n_users"), *extra))
+            .agg(F.sum(value).alias("total_kwh"), F.count(user).alias("n_users"), *extra))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
+from loadloom.config import DEFAULT
 from loadloom.functions import columns as C
 from loadloom.operators import clusters, features, matrix, reports, segments
 from loadloom.operators.ranks import scaled_ranks as rank_columns
@@ -118,9 +121,10 @@ query("bisecting_kmeans", "I9")(_fit_query("bisecting", 4))
 
 @query("gaussian_mixture", "I7")
 def gaussian_mixture(spark, sf):
-    # A full-covariance mixture needs many rows per dimension, so it runs on four components.
-    base, _ = matrix.pca(vectors(spark, sf).select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(16)]),
-                         [f"x{i}" for i in range(16)], kmin=4, kmax=4)
+    # A full-covariance mixture needs many rows per dimension, so it runs on four components of the whole vector.
+    v = vectors(spark, sf)
+    cols = [f"x{i}" for i in range(v.agg(F.max(F.size("x"))).first()[0] or 0)]
+    base, _ = matrix.pca(v.select("vec_id", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)]), cols, kmin=4, kmax=4)
     labels, _ = clusters.fit_clusters(base.select("vec_id", "pcs"), "gmm", 3)
     return labels.select("vec_id", "cluster")
 
@@ -149,15 +153,15 @@ def adjusted_rand_index(spark, sf):
     ch AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * list_distance(c, g) ** 2) AS b, sum(w) AS w FROM own JOIN r_cent USING (cluster), m),
     db AS (SELECT avg(r) AS db FROM (SELECT a.cluster, max((oa.s + ob.s) / list_distance(a.c, b.c)) AS r FROM r_cent a JOIN r_cent b ON a.cluster <> b.cluster
        JOIN own oa ON oa.cluster = a.cluster JOIN own ob ON ob.cluster = b.cluster GROUP BY a.cluster)),
-    p AS (SELECT a.vec_id, a.cluster AS ca, b.cluster AS cb, list_distance(a.x, b.x) AS d, a.vec_id = b.vec_id AS self FROM r_vec a, r_vec b),
+    p AS (SELECT a.vec_id, a.cluster AS ca, b.cluster AS cb, list_distance(a.x, b.x) ** 2 AS d, a.vec_id = b.vec_id AS self FROM r_vec a, r_vec b),
     g AS (SELECT vec_id, ca, cb, avg(d) FILTER (WHERE NOT self) AS m FROM p GROUP BY ALL),
     sil AS (SELECT vec_id, max(m) FILTER (WHERE ca = cb) AS i, min(m) FILTER (WHERE ca <> cb) AS o FROM g GROUP BY vec_id),
-    du AS (SELECT min(d) FILTER (WHERE ca <> cb) / max(d) FILTER (WHERE ca = cb) AS dunn FROM p)
+    du AS (SELECT (SELECT min(list_distance(a.c, b.c)) FROM r_cent a JOIN r_cent b ON a.cluster <> b.cluster) / (SELECT max(2 * s) FROM own) AS dunn)
     SELECT k AS n_clusters, n AS n_rows, round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz, round(db, 6) AS davies_bouldin,
-      (SELECT round(avg(CASE WHEN i IS NULL OR o IS NULL THEN 0 ELSE (o - i) / greatest(o, i) END), 6) FROM sil) AS silhouette, round(dunn, 6) AS dunn, n AS n_sample
+      (SELECT round(avg(CASE WHEN i IS NULL OR o IS NULL THEN 0 ELSE (o - i) / greatest(o, i) END), 6) FROM sil) AS silhouette, round(dunn, 6) AS dunn
     FROM ch, db, du""")
 def internal_indices(spark, sf):
-    return _round(clusters.internal_indices(vectors(spark, sf), "x", key="vec_id"), 6)
+    return _round(clusters.internal_indices(vectors(spark, sf), "x"), 6)
 
 
 @query("bootstrap_jaccard", "I11")
@@ -246,9 +250,9 @@ def sensitivity_grid(spark, sf):
     unit = v.withColumn("x", F.expr("transform(x, e -> e / sqrt(aggregate(x, 0D, (s, y) -> s + y * y)))"))
     out = None
     for prep, data in (("raw", v), ("unit", unit)):
-        for algo, k in (("kmeans", 2), ("bisecting", 2)):
+        for algo, k in product(("kmeans", "bisecting"), DEFAULT.k_range):
             labels, _ = clusters.fit_clusters(data, algo, k, features="x", starts=1)
-            row = clusters.full_indices(labels, "x").selectExpr(f"'{prep}' AS preprocessing", f"'{algo}' AS algo", f"{k} AS k", "*")
+            row = clusters.internal_indices(labels, "x").selectExpr(f"'{prep}' AS preprocessing", f"'{algo}' AS algo", f"{k} AS k", "*")
             out = row if out is None else out.unionByName(row)
     return out
 

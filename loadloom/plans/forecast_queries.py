@@ -158,15 +158,17 @@ def error_slices(spark, sf):
 
 
 @query("special_day_slices", "J23", """
-    WITH f AS (SELECT l.y, l.pred, c.is_bridge_day, c.is_easter_window FROM r_long l JOIN r_calendar c ON c.date = l.date AND c.province = '01' WHERE model = 'rolling')
-    SELECT slice_type, slice_value, count(pred) AS n, round(avg(abs(y - pred)), 6) AS mae FROM (SELECT y, pred, unnest(['bridge', 'easter']) AS slice_type,
+    WITH c AS (SELECT date, bool_or(is_bridge_day) AS is_bridge_day, bool_or(is_easter_window) AS is_easter_window FROM r_calendar GROUP BY date),
+    f AS (SELECT model, l.y, l.pred, c.is_bridge_day, c.is_easter_window FROM r_long l JOIN c ON c.date = l.date)
+    SELECT model, slice_type, slice_value, count(pred) AS n, round(avg(abs(y - pred)), 6) AS mae FROM (SELECT model, y, pred, unnest(['bridge', 'easter']) AS slice_type,
       unnest([CAST(is_bridge_day AS VARCHAR), CAST(is_easter_window AS VARCHAR)]) AS slice_value FROM f) GROUP BY ALL""")
 def special_day_slices(spark, sf):
     from loadloom.plans.weather_queries import _calendar
-    cal = _calendar(spark, sf).where("province = '01'").select("date", "is_bridge_day", "is_easter_window")
-    f = long_forecast(spark, sf).where("model = 'rolling'").join(cal, "date")
+    # The portfolio spans all provinces: a day is special where it is so in any of them.
+    cal = _calendar(spark, sf).groupBy("date").agg(*[F.bool_or(c).alias(c) for c in ("is_bridge_day", "is_easter_window")])
+    f = long_forecast(spark, sf).join(cal, "date")
     s = E.by_slices(f, {"bridge": "string(is_bridge_day)", "easter": "string(is_easter_window)"})
-    return _round(E.point_metrics(s, ["slice_type", "slice_value"]).select("slice_type", "slice_value", "n", "mae"), 6)
+    return _round(E.point_metrics(s, ["model", "slice_type", "slice_value"]).select("model", "slice_type", "slice_value", "n", "mae"), 6)
 
 
 @query("hourly_error_profile", "D53", """
@@ -353,11 +355,13 @@ def inverse_variance(spark, sf):
 
 @query("mint_reconciliation", "J28")
 def mint_reconciliation(spark, sf):
-    parts = R.cluster_forecast(spark, sf).where("cluster >= 0")
-    wide = parts.groupBy("date").pivot("cluster", [0, 1, 2, 3]).agg(F.first("y").alias("a"), F.first("pred").alias("p")).dropna()
-    j = stage(wide.join(_recon(spark, sf).select("date", "top_down"), "date").withColumn("actual_total", F.expr("`0_a` + `1_a` + `2_a` + `3_a`"))
-              .selectExpr("date", "actual_total", "top_down", *[f"`{i}_a` AS a{i}" for i in range(4)], *[f"`{i}_p` AS p{i}" for i in range(4)]))
-    return reconcile.mint(j.where(VAL), j.where(TEST), "actual_total", "top_down", [f"a{i}" for i in range(4)], [f"p{i}" for i in range(4)])
+    ids = R.cluster_ids(spark, sf)
+    wide = R.cluster_forecast(spark, sf).groupBy("date").pivot("cluster", ids).agg(F.first("y").alias("a"), F.first("pred").alias("p")).dropna()
+    actual, base = [f"a{i}" for i in range(len(ids))], [f"p{i}" for i in range(len(ids))]
+    j = stage(wide.join(_recon(spark, sf).select("date", "top_down"), "date")
+              .selectExpr("date", "top_down", *[f"`{c}_a` AS {a}" for c, a in zip(ids, actual)], *[f"`{c}_p` AS {p}" for c, p in zip(ids, base)])
+              .withColumn("actual_total", F.expr(" + ".join(actual))))
+    return reconcile.mint(j.where(VAL), j.where(TEST), "actual_total", "top_down", actual, base)
 
 
 @query("scope_coverage", "C15", """

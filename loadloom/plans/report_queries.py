@@ -87,16 +87,16 @@ ALL_AREAS = "SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS province FROM
 
 def _per_area(spark, sf):
     areas = R.table(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("province"))
-    return reports.users_per_area(R.user_dimension(spark, sf).where("tariff = '3.0TD'"), areas, "province")
+    return reports.users_per_area(R.user_dimension(spark, sf), areas, "province")
 
 
-@query("users_per_area", "D54 D51", f"SELECT a.province, count(u.user_id) AS n_users FROM ({ALL_AREAS}) a LEFT JOIN (SELECT * FROM r_user WHERE tariff = '3.0TD') u USING (province) GROUP BY 1")
+@query("users_per_area", "D54 D51", f"SELECT a.province, count(u.user_id) AS n_users FROM ({ALL_AREAS}) a LEFT JOIN r_user u USING (province) GROUP BY 1")
 def users_per_area(spark, sf):
     return _per_area(spark, sf)
 
 
 @query("small_cells", "D51 D8", f"""
-    WITH p AS (SELECT a.province, count(u.user_id) AS n_users FROM ({ALL_AREAS}) a LEFT JOIN (SELECT * FROM r_user WHERE tariff = '3.0TD') u USING (province) GROUP BY 1)
+    WITH p AS (SELECT a.province, count(u.user_id) AS n_users FROM ({ALL_AREAS}) a LEFT JOIN r_user u USING (province) GROUP BY 1)
     SELECT count(*) AS n_areas, count(*) FILTER (WHERE n_users BETWEEN 1 AND 14) AS n_small_areas, CAST(coalesce(sum(n_users) FILTER (WHERE n_users BETWEEN 1 AND 14), 0) AS BIGINT) AS users_in_small_areas,
       min(n_users) AS min_users, max(n_users) AS max_users FROM p""")
 def small_cells(spark, sf):
@@ -165,13 +165,13 @@ def audit_csv(spark, sf):
     return spark.read.option("header", True).schema("hours_recorded bigint, n_user_days bigint, n_users bigint").csv(root)
 
 
-@query("materialized_profile", "A8 A4 A9", "SELECT user_id, hour, round(avg(kwh), 8) AS mean_kwh FROM r_meter WHERE user_id IN (SELECT user_id FROM r_user WHERE tariff = '2.0TD') GROUP BY ALL")
+@query("materialized_profile", "A8 A4 A9", "SELECT user_id, hour, round(avg(kwh), 8) AS mean_kwh FROM r_meter WHERE user_id IN (SELECT user_id FROM r_user) GROUP BY ALL")
 def materialized_profile(spark, sf):
     path = _scratch(spark)
     build = lambda: rollups.profile(rollups.profile_grid(R.meter(spark, sf)), "hour")
     readers.materialize(spark, path, build)
     p = readers.materialize(spark, path, build)  # the second call reads what the first one wrote
-    R.user_dimension(spark, sf).where("tariff = '2.0TD'").createOrReplaceTempView("loadloom_profile_users")
+    R.user_dimension(spark, sf).createOrReplaceTempView("loadloom_profile_users")
     users = spark.table("loadloom_profile_users").select("user_id")
     return p.join(users, "user_id", "left_semi").select("user_id", "hour", R8("mean_kwh").alias("mean_kwh"))
 

@@ -126,6 +126,11 @@ def labels(spark, sf) -> DataFrame:
         "user_id", F.when(F.col("m") < 3, -1).otherwise((F.col("s_nationkey") % 4).cast("int")).alias("cluster"))
 
 
+def cluster_ids(spark, sf) -> list[int]:
+    """Clusters of the label table, in order: one value per cluster, however many users there are."""
+    return [r[0] for r in labels(spark, sf).select("cluster").distinct().orderBy("cluster").collect()]
+
+
 def cluster_daily(spark, sf) -> DataFrame:
     d = daily(spark, sf).join(labels(spark, sf), "user_id")
     return (rollups.target_series(d, by=["cluster"])

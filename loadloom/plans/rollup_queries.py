@@ -9,6 +9,7 @@ from loadloom.functions import columns as C
 from loadloom.operators import ranks, rollups
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
+from loadloom.sources.stage import broadcast_if_small
 
 R6 = lambda c: F.round(c, 8)
 
@@ -169,10 +170,8 @@ def period_scan(spark, sf):
     WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""")
 def semi_join_users(spark, sf):
     keep = R.table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("user_id"))
-    cells = R.meter(spark, sf).groupBy("user_id").agg(F.sum("kwh").alias("s"), F.count("kwh").alias("k"),
-                                                      F.count(F.lit(1)).alias("n"))
-    return cells.join(keep, "user_id", "left_semi").agg(
-        F.sum("n").alias("n_readings"), R6(F.sum("s") / F.sum("k")).alias("mean_kwh"))
+    return R.meter(spark, sf).join(broadcast_if_small(keep), "user_id", "left_semi").agg(
+        F.count(F.lit(1)).alias("n_readings"), R6(F.avg("kwh")).alias("mean_kwh"))
 
 
 @query("speedup_vs_slowest", "E20", """
@@ -202,11 +201,11 @@ def first_row_per_key(spark, sf):
 
 
 @query("tagged_union", "G1 A6", """
-    SELECT 'meter' AS source, user_id, date, daily_kwh, NULL::BIGINT AS hours_recorded FROM r_daily WHERE year(date) = 1999
+    SELECT 'meter' AS source, user_id, date, daily_kwh, NULL::BIGINT AS hours_recorded FROM r_daily
     UNION ALL SELECT 'readings', user_id, date, daily_kwh, hours_recorded FROM r_short_daily""")
 def tagged_union(spark, sf):
     from loadloom.sources.readers import union_tables
-    a = R.daily(spark, sf).where(F.year("date") == 1999).select(F.lit("meter").alias("source"), "user_id", "date", "daily_kwh")
+    a = R.daily(spark, sf).select(F.lit("meter").alias("source"), "user_id", "date", "daily_kwh")
     b = R.short_daily(spark, sf).select(F.lit("readings").alias("source"), "user_id", "date", "daily_kwh", "hours_recorded")
     return union_tables(a, b)
 
@@ -235,11 +234,11 @@ def hour_columns(spark, sf):
 
 
 @query("cluster_pivot", "G5", """
-    SELECT date, """ + ", ".join(f'max(CASE WHEN cluster = {c} THEN y END) AS "y_cluster_{c}"' for c in range(4)) + """
-    FROM r_cluster_daily GROUP BY date""")
+    SELECT * FROM (PIVOT (SELECT date, 'y_cluster_' || CAST(cluster AS VARCHAR) AS c, y FROM r_cluster_daily) ON c USING max(y) GROUP BY date)""")
 def cluster_pivot(spark, sf):
-    p = R.cluster_daily(spark, sf).groupBy("date").pivot("cluster", list(range(4))).agg(F.first("y"))
-    return p.select("date", *[F.col(str(c)).alias(f"y_cluster_{c}") for c in range(4)])
+    ids = R.cluster_ids(spark, sf)
+    p = R.cluster_daily(spark, sf).groupBy("date").pivot("cluster", ids).agg(F.first("y"))
+    return p.select("date", *[F.col(str(c)).alias(f"y_cluster_{c}") for c in ids])
 
 
 @query("unpivot_models", "G6 J18", """

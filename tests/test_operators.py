@@ -254,14 +254,29 @@ def squares(spark):
 
 def test_indices_on_two_squares(spark):
     r = one(clusters.internal_indices(squares(spark), "x"))
-    pts = np.array([[a, b] for a in (0, 1) for b in (0, 1)], float)
-    gap = min(np.linalg.norm(p - (q + 10)) for p in pts for q in pts)
-    assert r["dunn"] == pytest.approx(gap / np.sqrt(2))
+    assert r["dunn"] == pytest.approx(np.linalg.norm([10, 10]) / (2 * np.sqrt(0.5)))
     assert r["davies_bouldin"] == pytest.approx(2 * np.sqrt(0.5) / np.linalg.norm([10, 10]))
     assert r["calinski_harabasz"] == pytest.approx((2 * 4 * 50) / ((8 * 0.5) / 6))
     assert r["silhouette"] > 0.9
 
 
+def test_indices_over_all_of_many_rows(spark):
+    n, rng = 12_000, np.random.default_rng(1)
+    y = np.append(rng.integers(0, 3, n - 1), 3)  # the last row is alone in its cluster
+    x = rng.normal(size=(n, 2)) + 2.0 * y[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "user_id int, x array<double>, cluster int")
+    sil = []
+    for lo in range(0, n, 1000):
+        d = ((x[lo:lo + 1000, None, :] - x[None]) ** 2).sum(axis=2)
+        sums = np.stack([d[:, y == c].sum(axis=1) for c in range(4)], axis=1)
+        sizes = np.bincount(y)
+        for i, c in enumerate(y[lo:lo + 1000]):
+            inner = sums[i, c] / max(sizes[c] - 1, 1)
+            outer = min(sums[i, o] / sizes[o] for o in range(4) if o != c)
+            sil.append((outer - inner) / max(outer, inner) if sizes[c] > 1 else 0.0)
+    assert one(clusters.internal_indices(df, "x"))["silhouette"] == pytest.approx(np.mean(sil))
+
+
 def test_ari_and_jaccard(spark):
     s = squares(spark)
     assert one(clusters.ari(s.withColumn("b", 3 - F.col("cluster")), "cluster", "b"))["ari"] == pytest.approx(1.0)
