@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loadloom.llm import near_copies
+from loadloom.llm import near_copies, packing, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -73,3 +73,17 @@ def test_winners_are_rows(spark):
     got = sorted(near_copies.keep_one(df).collect(), key=repr)
     assert got == sorted([(1, a), (1, b), (None, "x y z")], key=repr)
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+# ---- tokens
+
+def test_long_white_space_runs_are_encoded(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a b" + gap * 1_100_000 + "c <|endoftext|> d" for gap in (" ", "\n", "\t")] + ["plain words"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [tokens.encoder()(t) for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()} == {i: len(w) for i, w in enumerate(want)}
+    assert packing.pack(df).agg(F.sum("length")).first()[0] >= sum(map(len, want))
