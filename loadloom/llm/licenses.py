@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
 }
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
+#: Words of a window over those of the longest template: at equal weights, with more the cosine is under 0.6 (1 / 0.6 ** 2 = 2.8).
+LONGEST = 2.8
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 
 
@@ -57,42 +60,57 @@ class Matcher:
                 v = {t: n * self.idf.get(t, self.top) for t, n in terms(text).items()}
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 self.rows.append((name, {t: x / norm for t, x in v.items()}))
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for i, (_, v) in enumerate(self.rows):
-            for t, x in v.items():
-                self.postings.setdefault(t, []).append((i, x))
-
-    def block(self, text: str) -> tuple[float, str | None]:
-        counts = terms(text)
-        dots: dict[int, float] = {}
-        norm = 0.0
-        for t, n in counts.items():
-            x = n * self.idf.get(t, self.top)
-            norm += x * x
-            for i, w in self.postings.get(t, ()):
-                dots[i] = dots.get(i, 0.0) + w * x
-        if not dots:
-            return 0.0, None
-        i = min(dots, key=lambda k: (-dots[k], self.rows[k][0]))
-        return dots[i] / math.sqrt(norm), self.rows[i][0]
+        self.longest = math.ceil(LONGEST * max(len(_TERM.findall(x.lower())) for texts in TEMPLATES.values() for x in texts))
+        every = sorted({t for _, v in self.rows for t in v})
+        unit = {t: np.array([v.get(t, 0.0) for _, v in self.rows]) for t in every}
+        self.squares = {t: x * x for t, x in unit.items()}
+        self.weights = {t: x * self.idf.get(t, self.top) for t, x in unit.items()}
 
     def best(self, text: str) -> tuple[float, str | None]:
-        """The best match of any line, or any paragraph of at most 12 lines; ties go to the first name."""
-        found = (0.0, None)
-        paragraph: list[str] = []
-        for line in [*text.split("\n"), ""]:
-            if line.strip():
-                paragraph.append(line)
-                if _HINT.search(line):
-                    found = max(found, self.block(line), key=lambda x: x[0])
-            else:
-                if 1 < len(paragraph) <= 12 and _HINT.search(" ".join(paragraph)):
-                    found = max(found, self.block(" ".join(paragraph)), key=lambda x: x[0])
-                paragraph = []
-        return found
-
-
-# Every template has one of these words, so other blocks cannot match.
+        """The best match of any window of consecutive lines; ties go to the first name.
+
+        A window has one line, or as many as fit into ``longest`` words; lines without words do not count. A window's
+        cosine is at most the root of its terms' share of the template, so starts are taken by that bound until none can win.
+        """
+        lines = [w for line in text.lower().split("\n") if (w := _TERM.findall(line))]
+        if not lines:
+            return 0.0, None
+        hinted = [bool(_HINT.search(" ".join(w))) for w in lines]
+        if not any(hinted):
+            return 0.0, None
+        wraps = [None, *(f"{a[-1]} {b[0]}" for a, b in zip(lines, lines[1:]))]
+        inner = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in lines]
+        mass = np.zeros((len(lines) + 1, len(self.rows)))
+        for i, (ts, wrap) in enumerate(zip(inner, wraps), 1):
+            for t in self.squares.keys() & {*ts, wrap}:
+                mass[i] += self.squares[t]
+        mass = np.cumsum(mass, axis=0)
+        words = np.cumsum([0, *map(len, lines)])
+        first = np.arange(len(lines))
+        ends = np.maximum(np.searchsorted(words, words[:-1] + self.longest, side="right") - 1, first + 1)
+        bound = np.minimum(1.0, (mass[ends] - mass[:-1]).max(1))
+        best, name = 0.0, None
+        for s in np.argsort(-bound, kind="stable").tolist():
+            if bound[s] < best * best - 1e-9 or not bound[s]:
+                break
+            counts: dict[str, int] = {}
+            norm, dots, seen = 0.0, np.zeros(len(self.rows)), False
+            for e in range(s, int(ends[s])):
+                for t in inner[e] if e == s else [wraps[e], *inner[e]]:
+                    n = counts.get(t, 0)
+                    counts[t] = n + 1
+                    norm += (2 * n + 1) * self.idf.get(t, self.top) ** 2
+                    if t in self.weights:
+                        dots += self.weights[t]
+                seen = seen or hinted[e]
+                i = int(dots.argmax())  # rows are sorted by name
+                c = float(dots[i]) / math.sqrt(norm)
+                if seen and (c > best + 1e-12 or c > best - 1e-12 and name is not None and self.rows[i][0] < name):
+                    best, name = c, self.rows[i][0]
+        return best, name
+
+
+# Every template has one of these words, so other windows cannot match.
 _HINT = re.compile(r"licen[cs]e|software|redistribut|public|copyright|released", re.I)
 
 
@@ -115,7 +133,7 @@ def template_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, int
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
     """(doc_id, path, license, cosine, origin, inherited_from) of every file.
 
-    A file whose best block reaches ``threshold`` has that licence (origin ``header``, or ``file`` if its name is a
+    A file whose best window of lines reaches ``threshold`` has that licence (origin ``header``, or ``file`` if its name is a
     licence file's). Other files take it from the nearest ancestor directory with a
     licence file that has one (``inherited``; the higher cosine, then the first name decides between several), else none.
     A path is exploded to its ancestors, bounded by its depth, and joined to the directories.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loadloom.llm import near_copies, packing, tokens
+from loadloom.llm import licenses, near_copies, packing, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,3 +87,33 @@ def test_long_white_space_runs_are_encoded(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()} == {i: len(w) for i, w in enumerate(want)}
     assert packing.pack(df).agg(F.sum("length")).first()[0] >= sum(map(len, want))
+
+
+# ---- licences
+
+def brute_cosine(m, text):
+    lines = [w for x in text.lower().split("\n") if (w := licenses._TERM.findall(x))]
+    out = 0.0
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            part = sum(lines[a:b], [])
+            if b > a + 1 and len(part) > m.longest:
+                break
+            x = {t: n * m.idf.get(t, m.top) for t, n in licenses.terms(" ".join(part)).items()}
+            norm = sum(v * v for v in x.values()) ** 0.5
+            out = max([out] + [sum(v * row.get(t, 0.0) for t, v in x.items()) / norm for _, row in m.rows])
+    return out
+
+
+def test_notices_wrapped_in_long_blocks_are_found(spark):
+    mit = licenses.TEMPLATES["MIT"][0].split()
+    wrapped = [" ".join(mit[i:i + 6]) for i in range(0, len(mit), 6)]
+    code = [f"value_{i} = call_{i}(argument_{i})" for i in range(20)]
+    data = [(1, "a/x.py", "\n".join(["# " + x for x in wrapped] + code)), (2, "b/x.c", "\n".join(code[:8] + [" * " + x for x in wrapped] + code[8:])),
+            (3, "c/LICENSE", "\n".join([*code[:5], *wrapped, *code])), (4, "c/d/y", "x = 1"), (5, "e/y", "\n".join(code))]
+    df = spark.createDataFrame(data, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got == {1: ("MIT", "header"), 2: ("MIT", "header"), 3: ("MIT", "file"), 4: ("MIT", "inherited"), 5: (None, "none")}
+    m = licenses.Matcher({"the": 40, "license": 5, "of": 30}, 50)
+    for _, _, text in data[:3]:
+        assert m.best(text)[0] == pytest.approx(brute_cosine(m, text), abs=1e-9)
