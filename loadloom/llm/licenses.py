@@ -75,9 +75,6 @@ class Matcher:
         lines = [w for line in text.lower().split("\n") if (w := _TERM.findall(line))]
         if not lines:
             return 0.0, None
-        hinted = [bool(_HINT.search(" ".join(w))) for w in lines]
-        if not any(hinted):
-            return 0.0, None
         wraps = [None, *(f"{a[-1]} {b[0]}" for a, b in zip(lines, lines[1:]))]
         inner = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in lines]
         mass = np.zeros((len(lines) + 1, len(self.rows)))
@@ -94,7 +91,7 @@ class Matcher:
             if bound[s] < best * best - 1e-9 or not bound[s]:
                 break
             counts: dict[str, int] = {}
-            norm, dots, seen = 0.0, np.zeros(len(self.rows)), False
+            norm, dots = 0.0, np.zeros(len(self.rows))
             for e in range(s, int(ends[s])):
                 for t in inner[e] if e == s else [wraps[e], *inner[e]]:
                     n = counts.get(t, 0)
@@ -102,18 +99,13 @@ class Matcher:
                     norm += (2 * n + 1) * self.idf.get(t, self.top) ** 2
                     if t in self.weights:
                         dots += self.weights[t]
-                seen = seen or hinted[e]
                 i = int(dots.argmax())  # rows are sorted by name
                 c = float(dots[i]) / math.sqrt(norm)
-                if seen and (c > best + 1e-12 or c > best - 1e-12 and name is not None and self.rows[i][0] < name):
+                if c > best + 1e-12 or c > best - 1e-12 and name is not None and self.rows[i][0] < name:
                     best, name = c, self.rows[i][0]
         return best, name
 
 
-# Every template has one of these words, so other windows cannot match.
-_HINT = re.compile(r"licen[cs]e|software|redistribut|public|copyright|released", re.I)
-
-
 def template_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, int], int]:
     """In how many files each template term occurs, and the number of files."""
     wanted = {t for texts in TEMPLATES.values() for x in texts for t in terms(x)}

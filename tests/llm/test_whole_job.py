@@ -117,3 +117,12 @@ def test_notices_wrapped_in_long_blocks_are_found(spark):
     m = licenses.Matcher({"the": 40, "license": 5, "of": 30}, 50)
     for _, _, text in data[:3]:
         assert m.best(text)[0] == pytest.approx(brute_cosine(m, text), abs=1e-9)
+
+
+def test_notices_that_only_name_the_licence_are_found(spark):
+    data = [(1, "a.txt", "some words\nText under CC BY 4.0\nmore words"), (2, "b.txt", "Shared under CC BY-SA 4.0."), (3, "c.txt", "plain prose about nothing")] + [(k, "d.txt", "x y") for k in range(4, 24)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(data, "doc_id long, path string, text string")).collect()}
+    assert {i: x for i, x in got.items() if x} == {1: "CC-BY-4.0", 2: "CC-BY-SA-4.0"}
+    m = licenses.Matcher({"the": 40, "of": 30}, 50)
+    for _, _, text in data[:4]:
+        assert m.best(text)[0] == pytest.approx(brute_cosine(m, text), abs=1e-9)
