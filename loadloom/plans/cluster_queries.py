@@ -115,7 +115,19 @@ def _fit_query(algo, k):
     return build
 
 
-query("kmeans", "I6")(_fit_query("kmeans", 5))
+@query("kmeans", "I6")
+def kmeans(spark, sf):
+    """Labels at the number of clusters of the configured range with the largest silhouette."""
+    v = stage(vectors(spark, sf).drop("cluster"))
+    best = None
+    for k in DEFAULT.k_range:
+        labels, _ = clusters.fit_clusters(v, "kmeans", k, features="x")
+        score = clusters.internal_indices(labels, "x").first()["silhouette"]
+        if best is None or score is not None and (best[0] is None or score > best[0]):
+            best = (score, labels)
+    return best[1].select("vec_id", "cluster")
+
+
 query("bisecting_kmeans", "I9")(_fit_query("bisecting", 4))
 
 
@@ -166,17 +178,13 @@ def internal_indices(spark, sf):
 
 @query("bootstrap_jaccard", "I11")
 def bootstrap_jaccard(spark, sf):
-    v = vectors(spark, sf)
-
-    def refit(df):
-        labels, _ = clusters.fit_clusters(df, "kmeans", 3, features="x", starts=1)
-        return labels
+    v = stage(vectors(spark, sf))
     base, _ = clusters.fit_clusters(v.drop("cluster"), "kmeans", 3, features="x")
 
     def fit(df):
-        labels, _ = clusters.fit_clusters(df.withColumnRenamed("cluster", "ref"), "kmeans", 3, features="x", starts=1)
+        labels, _ = clusters.fit_clusters(df.withColumnRenamed("cluster", "ref"), "kmeans", 3, features="x")
         return labels.withColumnRenamed("cluster", "refit").withColumnRenamed("ref", "cluster")
-    return clusters.bootstrap_jaccard(base, fit, key="vec_id", draws=3)
+    return clusters.bootstrap_jaccard(base, fit, key="vec_id")
 
 
 @query("jaccard_overlap", "I11", """
@@ -251,7 +259,7 @@ def sensitivity_grid(spark, sf):
     out = None
     for prep, data in (("raw", v), ("unit", unit)):
         for algo, k in product(("kmeans", "bisecting"), DEFAULT.k_range):
-            labels, _ = clusters.fit_clusters(data, algo, k, features="x", starts=1)
+            labels, _ = clusters.fit_clusters(data, algo, k, features="x")
             row = clusters.internal_indices(labels, "x").selectExpr(f"'{prep}' AS preprocessing", f"'{algo}' AS algo", f"{k} AS k", "*")
             out = row if out is None else out.unionByName(row)
     return out

@@ -408,8 +408,8 @@ def _fit(kind, mode="operational", **kw):
     return build
 
 
-query("gradient_boosting", "J6 J7 J3 J2")(_fit("gbt", grid={"maxDepth": (3,), "stepSize": (0.1,)}, maxIter=10))
-query("random_forest", "J8")(_fit("forest", grid={"featureSubsetStrategy": ("onethird", "sqrt")}, numTrees=20))
+query("gradient_boosting", "J6 J7 J3 J2")(_fit("gbt"))
+query("random_forest", "J8")(_fit("forest"))
 query("elastic_net", "J9 J7")(_fit("elastic"))
 
 
@@ -418,7 +418,7 @@ def feature_importance(spark, sf):
     t = model_table(spark, sf)
     feats = series.feature_set([c for c in t.columns if c not in _SKIP], "none")
     parts = [t.where(F.col("split") == s) for s in ("train", "val", "test")]
-    _, _, model = learners.fit_regressor("forest", *parts, feats, "y", grid={"maxDepth": (5,)}, numTrees=10)
+    _, _, model = learners.fit_regressor("forest", *parts, feats, "y")
     return learners.importance(model, feats, spark)
 
 
@@ -429,7 +429,7 @@ def weather_mode_ablation(spark, sf):
     for mode in ("none", "operational", "ex_post"):
         feats = series.feature_set([c for c in t.columns if c not in _SKIP], mode)
         parts = [t.where(F.col("split") == s) for s in ("train", "val", "test")]
-        pred, _, _ = learners.fit_regressor("elastic", *parts, feats, "y", grid={"regParam": (0.01,)})
+        pred, _, _ = learners.fit_regressor("elastic", *parts, feats, "y")
         row = pred.withColumns({"mode": F.lit(mode), "model": F.lit("elastic")})
         out = row if out is None else out.unionByName(row)
     return E.ablation(E.point_metrics(out, ["mode", "model"]))
@@ -444,7 +444,7 @@ def cluster_models(spark, sf):
     ok = learners.enough_rows(c, "cluster").where("usable").select("cluster")
     t = c.join(F.broadcast(ok), "cluster", "left_semi")
     parts = [t.where(F.col("split") == s) for s in ("train", "val", "test")]
-    pred, _, _ = learners.fit_regressor("elastic", *parts, ["lag1", "lag7", "roll7", "dow", "cluster"], "y", grid={"regParam": (0.01,)})
+    pred, _, _ = learners.fit_regressor("elastic", *parts, ["lag1", "lag7", "roll7", "dow", "cluster"], "y")
     return pred.select("date", "cluster", "y", "pred")
 
 
