@@ -38,6 +38,25 @@ def partitions(df: DataFrame, rows: int, per_partition: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
+def chosen_ids(rows: DataFrame, most: dict) -> DataFrame:
+    """(id, cls): at most ``most[cls]`` distinct ids of every class named there, the first ones in hash order.
+
+    ``rows`` has (id, cls). A class's rows are first thinned by a bound on the hash that leaves
+    a few more than wanted, so what is sorted or sent does not grow with the table.
+    """
+    rows = rows.where(F.col("cls").isin(list(most))).distinct().withColumn("h", F.xxhash64("id"))
+    spark = rows.sparkSession
+    sizes = {r["cls"]: r["n"] for r in rows.groupBy("cls").agg(F.count("*").alias("n")).collect()}
+    bounds = [(c, min(2**63 - 1, int((1.2 * most[c] + 200) / n * 2**64) - 2**63)) for c, n in sizes.items()]
+    kind = dict(rows.dtypes)
+    known = spark.createDataFrame(bounds, f"cls {kind['cls']}, bound long")
+    near = rows.join(F.broadcast(known), "cls").where("h <= bound").select("cls", "id", "h").collect()
+    picked = []
+    for c in sizes:
+        picked += [(r["id"], c) for r in sorted((r for r in near if r["cls"] == c), key=lambda r: (r["h"], r["id"]))[:most[c]]]
+    return spark.createDataFrame(picked, f"id {kind['id']}, cls {kind['cls']}")
+
+
 def in_small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
     """The table, after bounding the bytes of the Arrow batches that its session sends to Python.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadloom.llm import decontaminate, embedding_dedup, licenses, lm_score, packing, sharding, simhash, substring, tokens, toxicity
+from loadloom.llm import (decontaminate, embedding_dedup, hard_negatives, language_id, licenses, lm_score, packing, sharding, simhash, substring, tokens, toxicity,
+                          vector_codes)
 from loadloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,28 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_vector_codes"] = vector_codes.encode_sql()
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.MINE_SQL

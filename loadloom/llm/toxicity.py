@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import in_small_batches, mix, text_of
+from loadloom.llm.common import chosen_ids, in_small_batches, mix, text_of
 
 _WORD = re.compile(r"\w+")
 
@@ -155,17 +155,17 @@ def _calibrated(model: Model, top: np.ndarray, y: np.ndarray, rounds: int = 2000
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], max_bytes: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """Labelled texts outside the held-out third, in hash order, at most ``per_class`` of (clean, toxic) and ``max_bytes`` each."""
-    mark = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-            .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= max_bytes).join(mark, "doc_id")
-    texts, y = [], []
-    for cls, n in enumerate(per_class):
-        got = rows.where(F.col("_y") == cls).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()
-        texts += [r[0] for r in got]
-        y += [cls] * len(got)
-    order = np.random.default_rng(0).permutation(len(texts))
-    return [texts[i] for i in order], np.array(y, np.int64)[order]
+    """Labelled texts outside the held-out third, in hash order, at most ``per_class`` of (clean, toxic) and ``max_bytes`` each.
+
+    Ids are chosen before any text moves; then one scan brings the chosen texts, of a repeated id the smallest.
+    """
+    mark = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("cls"))
+            .where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1))
+    short = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= max_bytes)
+    ids = chosen_ids(short.select("id").join(mark, "id").select("id", "cls"), dict(enumerate(per_class)))
+    got = short.join(F.broadcast(ids), "id").groupBy("id", "cls").agg(F.min("text").alias("text")).orderBy("cls", F.xxhash64("id"), "id").collect()
+    order = np.random.default_rng(0).permutation(len(got))
+    return [got[i]["text"] for i in order], np.array([r["cls"] for r in got], np.int64)[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 1000), max_bytes: int = 20_000, id_col: str = "doc_id",
