@@ -39,17 +39,17 @@ class Model:
     table: np.ndarray
     prior: np.ndarray
 
-    def word_row(self, word: str) -> np.ndarray | None:
-        """A known word's row; else the mean row of the longest n-grams of which any is known; None if no character is known."""
+    def word_rows(self, word: str) -> list[int]:
+        """A known word's row; else the rows of its longest n-grams of which any is known; none if no character is known."""
         at = self.words.get(word)
         if at is not None:
-            return self.table[at]
+            return [at]
         for n in range(_LONGEST, 0, -1):
             known = self.grams.get(n, {})
             rows = [known[g] for g in ngrams(word, n) if g in known]
             if rows:
-                return self.table[rows].mean(0)
-        return None
+                return rows
+        return []
 
 
 def _counts(texts: Iterator[tuple[str, str]]) -> Counter:
@@ -131,29 +131,39 @@ def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     occurrences. The confidence is the share of the best language in a softmax of that sum, damped by the root of
     the number of words, whose evidence is not independent.
     """
+    out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+    if not model.langs:
+        return out
     place: dict[str, int] = {}
-    rows: list[np.ndarray] = []
-    none = np.zeros(len(model.langs), np.float32)
-    out = []
-    for text in texts:
+    word, times, sizes, at = [], [], [], []
+    for i, text in enumerate(texts):
         found = Counter(words_of(text or ""))
-        if not found or not model.langs:
-            out.append(("und", 0.0))
-            continue
-        at, times = [], []
-        for w, c in found.items():
-            i = place.get(w)
-            if i is None:
-                i = place[w] = len(rows)
-                row = model.word_row(w)
-                rows.append(none if row is None else row)
+        if found:
             at.append(i)
-            times.append(c)
-        times = np.array(times, float)
-        z = times @ np.stack([rows[i] for i in at]) / np.sqrt(times.sum()) + np.log(model.prior + 1e-9)
-        p = np.exp(z - z.max())
-        best = int(p.argmax())
-        out.append((model.langs[best], float(p[best] / p.sum())))
+            sizes.append(len(found))
+            word += [place.setdefault(w, len(place)) for w in found]
+            times += found.values()
+    if not at:
+        return out
+    rows, lens = [], []
+    for w in place:
+        got = model.word_rows(w)
+        rows += got
+        lens.append(len(got))
+    lens = np.array(lens)
+    of_word = np.repeat(np.arange(len(lens)), lens)
+    of_text = np.repeat(np.arange(len(at)), sizes)
+    word, times = np.array(word), np.array(times, float)
+    share = 1.0 / lens[of_word]
+    z = np.empty((len(at), len(model.langs)))
+    for k in range(len(model.langs)):
+        mean = np.bincount(of_word, model.table[rows, k] * share, len(lens))
+        z[:, k] = np.bincount(of_text, mean[word] * times)
+    z = z / np.sqrt(np.bincount(of_text, times))[:, None] + np.log(model.prior + 1e-9)
+    p = np.exp(z - z.max(1, keepdims=True))
+    best = p.argmax(1)
+    for i, b, share in zip(at, best.tolist(), (p.max(1) / p.sum(1)).tolist()):
+        out[i] = (model.langs[b], share)
     return out
 
 
