@@ -1,11 +1,12 @@
 """Exact order statistics that never funnel a group through one task.
 
 A rank over an unpartitioned (or badly skewed) window pulls all its rows into a
-single task. Here equal values are first collapsed to counts, then every value
-is put in a bucket that is a fixed monotone function of the value, so a running
-count needs only (a) a window inside one bucket and (b) a prefix sum over the
-few bucket totals. The bucket function reads nothing but the value, hence a
-recomputed task gives the same answer.
+single task. Here equal values are first collapsed to counts and written; the
+written rows are cut into ranges of about equal size by Spark's range
+exchange, whose cut points come from the data. The number of the range is
+written with the row, so a recomputed task sees the same ranges. A running
+count then needs only (a) a window inside one range and (b) a prefix sum over
+the few range totals.
 """
 
 from __future__ import annotations
@@ -15,36 +16,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RESOLUTION = 4096.0
+from loadloom.sources.stage import broadcast_if_small, stage
 
+RANGE_ROWS = 50_000
 
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket: linear near zero, logarithmic further out."""
-    return F.floor(F.asinh(value.cast("double")) * F.lit(_RESOLUTION))
 
+def value_ranges(counts: DataFrame, value: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The written table with ``_range``: ascending numbers of runs of (by, value) of about ``range_rows`` rows.
 
-def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    Rows must be distinct in (by, value). Up to ``range_rows`` rows are one range. A range is
+    at most a few times ``range_rows``, since the exchange samples every input partition.
+    """
+    held = stage(counts)
+    ranges = -(-held.count() // range_rows)
+    if ranges <= 1:
+        return held.withColumn("_range", F.lit(0))
+    # Every partition is sampled in proportion, so 100 sampled rows a range bound its size.
+    return stage(held.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id()))
+
+
+def running_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(by, value, n, below, total, n_top) of every distinct non-null value.
 
     ``below`` counts the rows strictly below the value, ``total`` those of the
     group and ``n_top`` those at the group's largest value. ``weight`` names a
-    column that already holds counts. The distinct-value shuffle is read by both
-    branches below (Spark reuses the exchange), so the input runs once.
+    column that already holds counts. The input runs once; the counts of its distinct values are written.
     """
     by = list(by)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, value).agg(amount.cast("long").alias("n"))
-              .withColumn("_bucket", value_bucket(F.col(value))))
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_bn"), F.max_by("n", value).alias("_bt"))
+    counts = value_ranges(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.cast("long").alias("n")), value, by, range_rows)
+    totals = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_bn"), F.max_by("n", value).alias("_bt"))
     group = Window.partitionBy(*by)
-    ordered = group.orderBy("_bucket")
+    ordered = group.orderBy("_range")
     offsets = totals.select(
-        *by, "_bucket", F.coalesce(F.sum("_bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.sum("_bn").over(group).alias("total"), F.max(F.struct("_bucket", "_bt")).over(group)["_bt"].alias("n_top"))
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
+        *by, "_range", F.coalesce(F.sum("_bn").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_bn").over(group).alias("total"), F.max(F.struct("_range", "_bt")).over(group)["_bt"].alias("n_top"))
+    inside = (Window.partitionBy(*by, "_range").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = null_safe_join(counts, offsets, by, ["_bucket"])
+    joined = null_safe_join(counts, offsets, by, ["_range"])
     return joined.select(
         *by, value, "n",
         (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total", "n_top")
@@ -105,7 +114,8 @@ def scaled_ranks(df: DataFrame, key: str, scores: dict[str, tuple[str, bool]]) -
     long = df.unpivot([key], [F.col(c).cast("double").alias(c) for c in cols], "_column", "_value")
     ranks = value_ranks(long.where("_value IS NOT NULL"), "_value", ["_column"]).selectExpr(
         "_column", "_value", "rank_avg / rank_top AS _up", "(rank_top - rank_avg + 1) / rank_top AS _down")
-    scored = long.join(ranks, ["_column", "_value"], "left")
+    # One row per distinct value: broadcast while its files are small, else a join whose hot values AQE can split.
+    scored = long.join(broadcast_if_small(stage(ranks), 8 << 20), ["_column", "_value"], "left")
     folded = scored.groupBy(key).agg(*[
         F.expr(f"coalesce(max({'_down' if inverse else '_up'}) FILTER (WHERE _column = '{c}'), 0.5D) AS {out}")
         for out, (c, inverse) in scores.items()])

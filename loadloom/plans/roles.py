@@ -126,6 +126,10 @@ def labels(spark, sf) -> DataFrame:
         "user_id", F.when(F.col("m") < 3, -1).otherwise((F.col("s_nationkey") % 4).cast("int")).alias("cluster"))
 
 
+# The clusters that the label rule can give.
+CLUSTERS = (-1, 0, 1, 2, 3)
+
+
 def cluster_ids(spark, sf) -> list[int]:
     """Clusters of the label table, in order: one value per cluster, however many users there are."""
     return [r[0] for r in labels(spark, sf).select("cluster").distinct().orderBy("cluster").collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadloom.functions import aggregates as A
@@ -178,7 +179,6 @@ def semi_join_users(spark, sf):
     WITH t AS (SELECT l_returnflag AS method, l_linestatus AS experiment, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)
     SELECT experiment, method, v AS cost, round(max(v) OVER (PARTITION BY experiment) / v, 8) AS speedup FROM t""")
 def speedup_vs_slowest(spark, sf):
-    from pyspark.sql import Window
     t = (R.table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("experiment"),
                                                 F.col("l_returnflag").alias("method"))
          .agg(F.sum("l_quantity").alias("cost")))
@@ -233,12 +233,11 @@ def hour_columns(spark, sf):
     return shape.select("user_id", *[R6(f"norm_h{h:02d}").alias(f"norm_h{h:02d}") for h in range(24)])
 
 
-@query("cluster_pivot", "G5", """
-    SELECT * FROM (PIVOT (SELECT date, 'y_cluster_' || CAST(cluster AS VARCHAR) AS c, y FROM r_cluster_daily) ON c USING max(y) GROUP BY date)""")
+@query("cluster_pivot", "G5", "SELECT date, " + ", ".join(f"max(y) FILTER (WHERE cluster = {k}) AS \"y_cluster_{k}\"" for k in R.CLUSTERS)
+       + " FROM r_cluster_daily GROUP BY date")
 def cluster_pivot(spark, sf):
-    ids = R.cluster_ids(spark, sf)
-    p = R.cluster_daily(spark, sf).groupBy("date").pivot("cluster", ids).agg(F.first("y"))
-    return p.select("date", *[F.col(str(c)).alias(f"y_cluster_{c}") for c in ids])
+    p = R.cluster_daily(spark, sf).groupBy("date").pivot("cluster", list(R.CLUSTERS)).agg(F.first("y"))
+    return p.select("date", *[F.col(str(c)).alias(f"y_cluster_{c}") for c in R.CLUSTERS])
 
 
 @query("unpivot_models", "G6 J18", """
@@ -314,18 +313,14 @@ def rows_to_slices(spark, sf):
     SELECT user_id, round(CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 8) AS entropy
     FROM p GROUP BY user_id""")
 def share_entropy(spark, sf):
-    from pyspark.sql import Window
     s = R.daily(spark, sf).groupBy("user_id", F.month("date").alias("m")).agg(F.sum("daily_kwh").alias("k"))
     p = s.withColumn("p", C.ratio("k", F.sum("k").over(Window.partitionBy("user_id"))))
     return p.groupBy("user_id").agg(R6(A.share_entropy("p")).alias("entropy"))
 
 
-@query("group_apply", "K1")
+@query("group_apply", "K1", """
+    SELECT cluster, date, y, round(avg(y) OVER (PARTITION BY cluster ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 8) AS trend FROM r_cluster_daily""")
 def group_apply(spark, sf):
-    """Arbitrary per-group function: a centred trend per cluster series (calendar-bounded groups)."""
-    def detrend(pdf):
-        pdf = pdf.sort_values("date")
-        pdf["trend"] = pdf["y"].rolling(7, center=True, min_periods=1).mean()
-        return pdf
-    return R.cluster_daily(spark, sf).select("cluster", "date", "y").groupBy("cluster").applyInPandas(
-        detrend, "cluster int, date date, y double, trend double")
+    """A function of each group, a centred trend per cluster series, as a window frame."""
+    w = Window.partitionBy("cluster").orderBy("date").rowsBetween(-3, 3)
+    return R.cluster_daily(spark, sf).select("cluster", "date", "y", R6(F.avg("y").over(w)).alias("trend"))

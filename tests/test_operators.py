@@ -90,10 +90,29 @@ def test_percentiles_match_numpy_with_a_hot_group(spark):
         assert np.allclose([got[g].p10, got[g].p50, got[g].p99], np.quantile(v, [0.1, 0.5, 0.99]))
 
 
-def test_value_bucket_is_monotone(spark):
-    v = sorted([-1e12, -3.7, -1e-6, 0.0, 1e-6, 0.5, 1.0, 1.0000001, 2.0, 1e3, 1e12])
-    b = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(ranks.value_bucket(F.col("v"))).collect()]
-    assert b == sorted(b)
+@pytest.mark.parametrize("name,value", [
+    ("near zero", "id / 5e9D"), ("near a million", "1000000D + id / 1e9D"), ("mostly one value", "CASE WHEN id % 10 = 0 THEN id ELSE 7 END"),
+    ("signed", "(id - 100000) * 1D"), ("whole", "id * 3")])
+def test_ranges_come_from_the_data(spark, name, value):
+    """Values that lie close together, and one value with nine tenths of the rows, are cut into even ranges."""
+    n = 200_000
+    df = spark.range(n).selectExpr(f"{value} AS v")
+    distinct = df.groupBy("v").agg(F.count("*").alias("n"))
+    sizes = [r["count"] for r in ranks.value_ranges(distinct, "v", range_rows=5_000).groupBy("_range").count().collect()]
+    assert len(sizes) >= sum(sizes) // 5_000 and max(sizes) <= max(15_000, 0.05 * sum(sizes))
+    got = ranks.running_counts(df, "v", range_rows=5_000).orderBy("v").toPandas()
+    assert (got.below == got.n.cumsum() - got.n).all() and (got.total == n).all() and (got.n_top == got.n.iloc[-1]).all()
+
+
+def test_ranges_of_groups(spark):
+    """One group with most of the rows next to many small ones; null is a group too."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id < 40000 THEN 'hot' WHEN id % 50 > 0 THEN concat('g', id % 50) END AS g", "id % 20011 AS v")
+    got = ranks.running_counts(df, "v", ["g"], range_rows=2_000).toPandas().sort_values(["g", "v"])
+    want = df.toPandas().groupby("g", dropna=False)["v"].value_counts().reset_index().sort_values(["g", "v"])
+    assert len(got) == len(want) and (got.n.to_numpy() == want["count"].to_numpy()).all()
+    below = want.groupby("g", dropna=False)["count"].cumsum() - want["count"]
+    assert (got.below.to_numpy() == below.to_numpy()).all()
+    assert (got.groupby("g", dropna=False).total.first() == df.toPandas().groupby("g", dropna=False).size()).all()
 
 
 def test_scaled_ranks_ties_and_nulls(spark):
