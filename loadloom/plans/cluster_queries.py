@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loadloom.config import DEFAULT
 from loadloom.functions import columns as C
-from loadloom.operators import clusters, features, matrix, reports, segments
+from loadloom.operators import clusters, features, many_fits, matrix, reports, segments, solutions
 from loadloom.operators.ranks import scaled_ranks as rank_columns
 from loadloom.plans import roles as R
 from loadloom.plans.feature_queries import context
@@ -117,28 +117,30 @@ def _fit_query(algo, k):
 
 @query("kmeans", "I6")
 def kmeans(spark, sf):
-    """Labels at the number of clusters of the configured range with the largest silhouette."""
-    v = stage(vectors(spark, sf).drop("cluster"))
-    best = None
-    for k in DEFAULT.k_range:
-        labels, _ = clusters.fit_clusters(v, "kmeans", k, features="x")
-        score = clusters.internal_indices(labels, "x").first()["silhouette"]
-        if best is None or score is not None and (best[0] is None or score > best[0]):
-            best = (score, labels)
-    return best[1].select("vec_id", "cluster")
+    """Labels at the number of clusters of the configured range with the largest silhouette; 25 starts for each."""
+    c = solutions.search(vectors(spark, sf), "vec_id", "x", "raw", algos=("kmeans",))
+    best = max(c.rows, key=lambda r: (r["silhouette"], -r["k"]))
+    return solutions.labels_of([c], best["solution"], "vec_id")
 
 
 query("bisecting_kmeans", "I9")(_fit_query("bisecting", 4))
 
 
-@query("gaussian_mixture", "I7")
-def gaussian_mixture(spark, sf):
-    # A full-covariance mixture needs many rows per dimension, so it runs on four components of the whole vector.
+def vector_components(spark, sf):
+    """All retained principal components of the vectors."""
     v = vectors(spark, sf)
     cols = [f"x{i}" for i in range(v.agg(F.max(F.size("x"))).first()[0] or 0)]
-    base, _ = matrix.pca(v.select("vec_id", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)]), cols, kmin=4, kmax=4)
-    labels, _ = clusters.fit_clusters(base.select("vec_id", "pcs"), "gmm", 3)
-    return labels.select("vec_id", "cluster")
+    base, _ = matrix.pca(v.select("vec_id", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)]), cols)
+    return base.select("vec_id", "pcs")
+
+
+@query("gaussian_mixture", "I7")
+def gaussian_mixture(spark, sf):
+    """Class and posterior of the diagonal mixture with the least information criterion over the configured range of k."""
+    t = many_fits.prepared(vector_components(spark, sf), "vec_id", "pcs")
+    starts = many_fits.cheapest(many_fits.fit_kmeans(t, [many_fits.Spec(k, s) for k in DEFAULT.k_range for s in range(solutions.STARTS)]))
+    best = min(many_fits.fit_mixtures(t, list(starts.values())), key=lambda f: f.cost)
+    return many_fits.posteriors(t, best, "vec_id")
 
 
 @query("nearest_centroid", "I8", "SELECT vec_id, cluster, distance FROM r_near")
@@ -178,13 +180,11 @@ def internal_indices(spark, sf):
 
 @query("bootstrap_jaccard", "I11")
 def bootstrap_jaccard(spark, sf):
-    v = stage(vectors(spark, sf))
-    base, _ = clusters.fit_clusters(v.drop("cluster"), "kmeans", 3, features="x")
-
-    def fit(df):
-        labels, _ = clusters.fit_clusters(df.withColumnRenamed("cluster", "ref"), "kmeans", 3, features="x")
-        return labels.withColumnRenamed("cluster", "refit").withColumnRenamed("ref", "cluster")
-    return clusters.bootstrap_jaccard(base, fit, key="vec_id")
+    """Mean best overlap of three clusters with refits on 30 subsamples, all fitted together."""
+    c = solutions.search(vectors(spark, sf), "vec_id", "x", "raw", ks=(3,), algos=("kmeans",), draws=solutions.DRAWS)
+    overlaps = many_fits.draw_overlaps(c.labelled, [(0, 3, 1 + b, 3, b) for b in range(solutions.DRAWS)])
+    rows = [(k, j, n) for k, (j, n) in many_fits.stability(overlaps)[0].items()]
+    return spark.createDataFrame(rows, "cluster int, mean_jaccard double, n_draws int")
 
 
 @query("jaccard_overlap", "I11", """
@@ -253,16 +253,66 @@ def weighted_rank_selection(spark, sf):
 
 @query("sensitivity_grid", "I15")
 def sensitivity_grid(spark, sf):
-    """Algorithm x k on two preprocessings of the same vectors, each with its indices."""
+    """Algorithm x k on three preprocessings of the same vectors, each with its indices."""
     v = vectors(spark, sf).drop("cluster")
     unit = v.withColumn("x", F.expr("transform(x, e -> e / sqrt(aggregate(x, 0D, (s, y) -> s + y * y)))"))
-    out = None
-    for prep, data in (("raw", v), ("unit", unit)):
-        for algo, k in product(("kmeans", "bisecting"), DEFAULT.k_range):
-            labels, _ = clusters.fit_clusters(data, algo, k, features="x")
-            row = clusters.internal_indices(labels, "x").selectExpr(f"'{prep}' AS preprocessing", f"'{algo}' AS algo", f"{k} AS k", "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    parts = {"raw": v, "unit": unit, "components": vector_components(spark, sf).withColumnRenamed("pcs", "x")}
+    return solutions.board(spark, [solutions.search(d, "vec_id", "x", name) for name, d in parts.items()]).drop("mean_jaccard", "min_jaccard")
+
+
+# ---- the clustering run on users
+
+_POOL = f"""SELECT m.*, coalesce(s.ratio_night_day > 1.5, FALSE) OR coalesce(s.peak_hour BETWEEN 0 AND 6, FALSE) OR coalesce(s.valley_share >= 0.62, FALSE) AS night
+    FROM ({_MX_BASE}) m JOIN (SELECT user_id, ratio_night_day, peak_hour, valley_share FROM r_f_shape) s USING (user_id)"""
+
+
+def _pool(spark, sf):
+    """Users with their matrix columns; ``night`` marks the rule segment, which is not clustered."""
+    hours = features.shape_features(features.hour_cells(R.meter(spark, sf))).select("user_id", "peak_hour")
+    return stage(_mx(spark, sf).join(hours, "user_id").withColumn("night", C.night_rule("ratio_night_day", "peak_hour", "valley_share")).drop("peak_hour"))
+
+
+def solution_candidates(spark, sf, pool):
+    """Every (preprocessing, algorithm, k) of the users' matrix with indices and the stability of 30 draws."""
+    scaled = stage(matrix.robust_matrix(pool.where("NOT night").drop("night"), _MX, weights=_W))
+    parts = {"robust": scaled.select("user_id", F.array(*_MX).alias("x")),
+             "components": matrix.pca(scaled, _MX, kmin=3, kmax=6)[0].select("user_id", F.col("pcs").alias("x"))}
+    return [solutions.search(d, "user_id", "x", name, draws=solutions.DRAWS) for name, d in parts.items()]
+
+
+def _names():
+    return " UNION ALL ".join(f"SELECT '{p}_{a}_k{k}' AS solution, {k} AS k" for p, a, k in product(("robust", "components"), ("kmeans", "mixture"), DEFAULT.k_range))
+
+
+@query("solution_board", "I13 I15", f"""WITH p AS ({_POOL}) SELECT solution, k, (SELECT count(*) FROM p WHERE NOT night) AS n_rows, TRUE AS shares_fit, TRUE AS indices_fit, TRUE AS stability_fits
+    FROM ({_names()})""")
+def solution_board(spark, sf):
+    """The fitted candidates; the SQL twin knows the candidates, the pool and what must hold of every rating."""
+    b = solutions.board(spark, solution_candidates(spark, sf, _pool(spark, sf)))
+    return b.selectExpr("solution", "k", "n_rows", "n_clusters BETWEEN 1 AND k AND min_pct * n_clusters <= 100.1D AND max_pct * n_clusters >= 99.9D AS shares_fit",
+                        "silhouette BETWEEN -1 AND 1 AND balance_entropy BETWEEN 0 AND 1.000001D AND davies_bouldin > 0 AND dunn > 0 AS indices_fit",
+                        "min_jaccard > 0 AND min_jaccard <= mean_jaccard AND mean_jaccard <= 1 AS stability_fits")
+
+
+@query("chosen_solution", "F3 I13 I14")
+def chosen_solution(spark, sf):
+    return clusters.select_solution(clusters.leaderboard(solutions.board(spark, solution_candidates(spark, sf, _pool(spark, sf)))))
+
+
+@query("fitted_labels", "I19 I8 I13", f"""WITH p AS ({_POOL}) SELECT user_id, CASE WHEN night THEN -1 END AS rule_cluster, TRUE AS in_range, CASE WHEN night THEN 'rule' END AS rule_algo
+    FROM p""")
+def fitted_labels(spark, sf):
+    """The label table of the chosen solution with the rule segment as cluster -1."""
+    pool = _pool(spark, sf)
+    t = chosen_labels(spark, sf, pool)
+    return t.selectExpr("user_id", "CASE WHEN cluster = -1 THEN -1 END AS rule_cluster", "cluster = -1 OR cluster BETWEEN 1 AND k AS in_range", "CASE WHEN algo = 'rule' THEN algo END AS rule_algo")
+
+
+def chosen_labels(spark, sf, pool):
+    c = solution_candidates(spark, sf, pool)
+    best = clusters.select_solution(clusters.leaderboard(solutions.board(spark, c))).first()
+    own = solutions.labels_of(c, best["solution"], "user_id")
+    return clusters.label_table(own, best["solution"], best["algo"], best["k"], pool.where("night"))
 
 
 @query("anomalous_vectors", "I16", """
