@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadloom.config import DEFAULT
 from loadloom.functions import aggregates as A
+from loadloom.operators import gram as G
 from loadloom.operators.ranks import order_statistic
 from loadloom.sources.stage import stage
 
@@ -174,3 +175,35 @@ def evidence(metrics: DataFrame, intervals: DataFrame, metric="wape") -> DataFra
     cov = (intervals.selectExpr("concat(slice_type, '=', slice_value) AS subject", "coverage AS value").where("value IS NOT NULL")
            .orderBy(F.round("value", 9), "subject").limit(1).withColumn("finding", F.lit("worst_coverage")))
     return best.unionByName(worst).unionByName(cov).select("finding", "subject", "value")
+
+
+def rolling_refit(df: DataFrame, date: str, y: str, features: Sequence[str], cutoffs: Sequence[str], horizon=DEFAULT.cv_horizon, calibration_days=90, alpha=0.10,
+                  penalty: float = 0.0) -> DataFrame:
+    """(fold, date, y, pred, lo, hi) of a linear model refitted at every cutoff, with an interval from the days before it.
+
+    Days are dealt to segments by a range join with the fit points (each cutoff, and ``calibration_days`` before it); a fit is the
+    running sum of the segments' Gram matrices, so all refits share one pass over the rows. A fold's
+    model up to its calibration window predicts that window; the finite-sample quantile of its absolute errors is the half width.
+    The model up to the cutoff predicts the next ``horizon`` days. Rows with nulls in features or target take no part.
+    """
+    spark = df.sparkSession
+    folds = spark.createDataFrame([(i + 1, c) for i, c in enumerate(cutoffs)], "fold int, cut string").selectExpr("fold", "to_date(cut) AS cut")
+    ends = folds.select("cut").union(folds.select(F.date_sub("cut", calibration_days))).distinct()
+    points = F.broadcast(ends.agg(F.array_sort(F.collect_set("cut")).alias("_ends")))
+    rows = stage(df.dropna(subset=[*features, y]).crossJoin(points)
+                 .withColumn("segment", F.expr(f"get(filter(_ends, e -> e >= {date}), 0)")).drop("_ends"))
+    grams = G.gram(rows.where("segment IS NOT NULL"), ["segment"], features, y)
+    # A fit point without rows of its own takes the model of the one before.
+    padded = ends.select(F.col("cut").alias("segment")).join(grams, "segment", "left")
+    zero = F.array_repeat(F.lit(0.0), (len(features) + 2) * (len(features) + 3) // 2)
+    padded = padded.select("segment", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("moments", zero).alias("moments"))
+    models = G.fit_all(G.running(padded, [], "segment").where("n > 0"), ["segment"], len(features), penalty).select("segment", "coefficients")
+
+    def window(at, low, high):
+        part = folds.join(models, F.col("segment") == at).select("fold", "cut", "coefficients")
+        return rows.drop("segment").join(F.broadcast(part), (F.col(date) > low) & (F.col(date) <= high)).withColumn("pred", G.predicted(features))
+
+    before = window(F.date_sub("cut", calibration_days), F.date_sub("cut", calibration_days), F.col("cut"))
+    width = conformal(before.withColumn("resid", F.abs(F.col(y) - F.col("pred"))), "resid", ["fold"], alpha, out="_q").select("fold", "_q")
+    after = window(F.col("cut"), F.col("cut"), F.date_add("cut", horizon))
+    return add_interval(after.join(F.broadcast(width), "fold"), "pred", "_q").select("fold", date, y, "pred", "lo", "hi")

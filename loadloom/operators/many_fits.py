@@ -120,6 +120,8 @@ def first_centres(table: DataFrame, specs: Sequence[Spec]) -> list[np.ndarray]:
     centres: list[list] = [[] for _ in specs]
     for step in range(max(s.k for s in specs)):
         open_ = [i for i, s in enumerate(specs) if s.k > step and len(centres[i]) == step]
+        if not open_:
+            break
         now = {i: np.array(centres[i]) for i in open_}
 
         def race(batches, open_=open_, now=now, step=step):

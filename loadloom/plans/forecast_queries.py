@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadloom.functions import columns as C
-from loadloom.operators import forecast_eval as E, learners, reconcile, series
+from loadloom.operators import forecast_eval as E, gram, learners, reconcile, series
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
 from loadloom.plans.roles_sql import ROLES
@@ -435,17 +435,64 @@ def weather_mode_ablation(spark, sf):
     return E.ablation(E.point_metrics(out, ["mode", "model"]))
 
 
+_CLUSTER_FEATURES = ["lag1", "lag7", "roll7", "dow"]
+
+
+def cluster_table(spark, sf):
+    c = series.add_lags(R.cluster_daily(spark, sf), "y", "date", ["cluster"], lags=(1, 7), means=(7,))
+    return stage(series.temporal_split(c.where("roll7 IS NOT NULL"), "date", "1999-12-31", "2000-12-31").withColumn("dow", F.weekday("date")))
+
+
+def cluster_predictions(t):
+    """Test rows of every cluster that has enough rows, each predicted by a model of its own."""
+    grams = gram.gram(t.withColumn("_t", F.log1p("y")), ["cluster", "split"], _CLUSTER_FEATURES, "_t")
+    models = gram.fit_groups(grams, ["cluster"], "split", len(_CLUSTER_FEATURES))
+    joined = t.where("split = 'test'").join(F.broadcast(models), "cluster")
+    return joined.withColumn("pred", F.greatest(F.lit(0.0), F.expm1(gram.predicted(_CLUSTER_FEATURES))))
+
+
 @query("cluster_models", "J13")
 def cluster_models(spark, sf):
-    """One pooled model with the cluster as a feature, for clusters with enough rows."""
-    c = series.add_lags(R.cluster_daily(spark, sf), "y", "date", ["cluster"], lags=(1, 7), means=(7,))
-    c = series.temporal_split(c.where("roll7 IS NOT NULL"), "date", "1999-12-31", "2000-12-31").withColumn("dow", F.weekday("date"))
-    c = stage(c)
-    ok = learners.enough_rows(c, "cluster").where("usable").select("cluster")
-    t = c.join(F.broadcast(ok), "cluster", "left_semi")
-    parts = [t.where(F.col("split") == s) for s in ("train", "val", "test")]
-    pred, _, _ = learners.fit_regressor("elastic", *parts, ["lag1", "lag7", "roll7", "dow", "cluster"], "y")
-    return pred.select("date", "cluster", "y", "pred")
+    """One elastic net per cluster with enough rows, all fitted from one aggregate of second moments."""
+    return cluster_predictions(cluster_table(spark, sf)).select("date", "cluster", "y", "pred")
+
+
+@query("cluster_model_checks", "J13", """
+    WITH f AS (SELECT date, cluster, y, lag(y, 1) OVER w AS lag1, lag(y, 7) OVER w AS lag7, CASE WHEN count(y) OVER v = 7 THEN avg(y) OVER v END AS roll7
+      FROM r_cluster_daily WINDOW w AS (PARTITION BY cluster ORDER BY date), v AS (PARTITION BY cluster ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, CASE WHEN date <= DATE '1999-12-31' THEN 'train' WHEN date <= DATE '2000-12-31' THEN 'val' ELSE 'test' END AS split FROM f WHERE roll7 IS NOT NULL),
+    n AS (SELECT cluster, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'val') AS b, count(*) FILTER (WHERE split = 'test') AS n_test FROM s GROUP BY cluster)
+    SELECT cluster, n_test, TRUE AS finite_model, TRUE AS beats_last_value FROM n WHERE a >= 200 AND b >= 30 AND n_test >= 5""")
+def cluster_model_checks(spark, sf):
+    """Which clusters got a model, and whether it beats the last value on the test rows."""
+    p = cluster_predictions(cluster_table(spark, sf))
+    return p.groupBy("cluster").agg(F.count("*").alias("n_test"), F.bool_and(F.expr("penalty > 0 AND abs(pred) < 1e300D AND pred >= 0")).alias("finite_model"),
+                                    (F.avg(F.expr("abs(y - pred)")) < F.avg(F.expr("abs(y - lag1)"))).alias("beats_last_value"))
+
+
+@query("rolling_origin_refit", "J25 J16", """
+    WITH s AS (SELECT date, y, lag(y, 7) OVER (ORDER BY date) AS a, CASE WHEN count(y) OVER v = 7 THEN avg(y) OVER v END AS b
+      FROM r_portfolio WINDOW v AS (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT unnest([1, 2, 3, 4, 5]) AS fold, unnest([DATE '2001-03-31', DATE '2001-04-30', DATE '2001-05-30', DATE '2001-06-29', DATE '2001-07-29']) AS cut),
+    x AS (SELECT * FROM s WHERE a IS NOT NULL AND b IS NOT NULL),
+    e AS (SELECT DISTINCT unnest([cut, cut - 90]) AS upto FROM f),
+    m AS (SELECT upto, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS b_y
+      FROM e JOIN x ON date <= upto GROUP BY upto),
+    c AS (SELECT upto, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS ca, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS cb, my, ma, mb FROM m),
+    p AS (SELECT fold, date, y, my + ca * (a - ma) + cb * (b - mb) AS pred, date > cut AS later FROM f JOIN x ON date > cut - 90 AND date <= cut + 30
+      JOIN c ON upto = CASE WHEN date > cut THEN cut ELSE cut - 90 END),
+    r AS (SELECT fold, abs(y - pred) AS r, row_number() OVER (PARTITION BY fold ORDER BY abs(y - pred)) AS i, count(*) OVER (PARTITION BY fold) AS n FROM p WHERE NOT later),
+    q AS (SELECT fold, r AS q FROM r WHERE i = least(n, CAST(ceil((n + 1) * 0.9 - 1e-9) AS BIGINT))),
+    w AS (SELECT fold, y, pred, greatest(0, pred - q) AS lo, pred + q AS hi FROM p JOIN q USING (fold) WHERE later)
+    SELECT fold, count(*) AS n, round(avg(abs(y - pred)), 5) AS mae, round(100 * sum(abs(y - pred)) / sum(abs(y)), 5) AS wape,
+      round(100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)), 5) AS coverage, round(avg(hi - lo), 5) AS width FROM w GROUP BY fold""")
+def rolling_origin_refit(spark, sf):
+    """Five refits with intervals from the 90 days before each cutoff, from one pass of running moments."""
+    p = series.add_lags(R.portfolio(spark, sf).select("date", "y"), "y", "date", lags=(7,), means=(7,))
+    cuts = ["2001-03-31", "2001-04-30", "2001-05-30", "2001-06-29", "2001-07-29"]
+    r = stage(E.rolling_refit(p, "date", "y", ["lag7", "roll7"], cuts))
+    points = E.point_metrics(r, ["fold"]).select("fold", "n", "mae", "wape")
+    return _round(points.join(E.interval_metrics(r, ["fold"]).select("fold", "coverage", "width"), "fold"), 5)
 
 
 @query("usable_clusters", "J13", """

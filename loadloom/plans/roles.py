@@ -44,8 +44,12 @@ def readings(spark, sf) -> DataFrame:
 
 def meter(spark, sf) -> DataFrame:
     """Seven years of readings per meter; the hour is derived from the order line."""
+    return meter_of(table(spark, sf, "lineitem"))
+
+
+def meter_of(lineitem: DataFrame) -> DataFrame:
     hour = "int((l_orderkey * 5 + l_linenumber) % 24)"
-    return table(spark, sf, "lineitem").selectExpr(
+    return lineitem.selectExpr(
         "l_suppkey AS user_id", f"l_shipdate + make_dt_interval(0, {hour}) AS ts", "to_date(l_shipdate) AS date",
         f"{hour} AS hour", "l_quantity / 8 AS kwh")
 
