@@ -162,6 +162,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The documents that are not contaminated; all their columns."""
-    keyed = docs.withColumn("_key", c.text_key(text_col))
+    key = c.free_name(docs, "_key")
     bad = contaminated_words(docs.select(c.text_key(text_col).alias("_key"), F.col(text_col).alias("_text")), benchmark, id_col="_key", text_col="_text", **settings)
-    return keyed.join(bad.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    hit = bad.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, c.text_key(text_col)).join(hit, key, "left_anti").select(docs.columns)

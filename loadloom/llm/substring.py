@@ -228,6 +228,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35) -
     Untouched texts stay as they are, byte for byte; all rows and columns stay.
     """
     _, stripped = _kept(docs, text_col, window)
-    changed = stripped.select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    others: list[Column] = [F.coalesce("_kept", text_col).alias(text_col) if x == text_col else F.col(x) for x in docs.columns]
-    return docs.withColumn("_key", c.text_key(text_col)).join(changed, "_key", "left").select(*others)
+    key, kept = c.free_name(docs, "_key"), c.free_name(docs, "_kept")
+    changed = stripped.select(F.col("key").alias(key), F.col("kept").alias(kept))
+    others: list[Column] = [F.coalesce(kept, text_col).alias(text_col) if x == text_col else F.col(x) for x in docs.columns]
+    return docs.withColumn(key, c.text_key(text_col)).join(changed, key, "left").select(*others)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loadloom.llm import licenses, near_copies, packing, tokens
+from loadloom.llm import decontaminate, licenses, near_copies, packing, substring, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -75,6 +75,27 @@ def test_winners_are_rows(spark):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+CLASHING = ["_key", "_kept", "_text_key", "__key", "_KEPT2", "_id", "_n", "node", "n_words", "held_out"]
+
+
+def test_stages_keep_columns_with_their_own_names(spark):
+    """Columns named like the operators' own keep their values through every filtering stage."""
+    passage = " ".join(prose(60, 77))
+    texts = [" ".join(prose(90, i)) for i in range(12)] + [" ".join(prose(20, 40 + i)) + " " + passage for i in range(3)] + [" ".join(prose(90, 0)), None, ""]
+    df = spark.createDataFrame([(i, t, *[f"{c}-{i}" for c in CLASHING]) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    bench = spark.createDataFrame([("q1", " ".join(prose(90, 3)[:40]))], "item_id string, text string")
+    kept = near_copies.keep_one(df)
+    cut = substring.without_repeats(df)
+    clean = decontaminate.clean_documents(df, bench)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {15, 17}
+    assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {3}
+    shorter = {r.doc_id for r in cut.collect() if len(r.text or "") < len(texts[r.doc_id] or "")}
+    assert cut.count() == len(texts) and shorter == {0, 12, 13, 14, 15}
+    for out in (kept, cut, clean):
+        assert out.columns == df.columns
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in out.collect() for c in CLASHING)
+
+
 # ---- tokens
 
 def test_long_white_space_runs_are_encoded(spark):
