@@ -116,7 +116,7 @@ def fit_groups(grams: DataFrame, by: Sequence[str], split: str, p: int, penaltie
 def fit_all(grams: DataFrame, keep: Sequence[str], p: int, penalty: float = 0.0) -> DataFrame:
     """(keep, n, coefficients) of every Gram matrix."""
     kinds = dict(grams.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n long, coefficients array<double>"
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "n long", "coefficients array<double>"])
 
     def solve(batches):
         for b in batches:

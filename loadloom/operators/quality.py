@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,3 +192,18 @@ def over_user_threshold(df: DataFrame, limits: DataFrame, limit: Column, user="u
         df.sparkSession.range(salts).select(F.col("id").alias("_salt")))
     return (fact.join(dim, [user, "_salt"]).where(F.col(value) > F.col("_limit"))
             .drop("_salt").withColumnRenamed("_limit", "limit"))
+
+
+def sketch_cells(df: DataFrame, value: str, by: Sequence[str], k: int = 400) -> DataFrame:
+    """(by, sketch, n): a mergeable quantile sketch per cell, meant to be stored and merged to any coarser level."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def sketch_quantiles(cells: DataFrame, by: Sequence[str], probs: dict[str, float], k: int = 400) -> DataFrame:
+    """(by, n, one column per probability) from merged sketches; the values themselves are not read.
+
+    A sketch of ``k`` 400 misses the asked rank by less than 0.8 % of the rows with 99 % confidence.
+    """
+    merged = cells.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("_s"), F.sum("n").alias("n"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(name) for name, p in probs.items()])

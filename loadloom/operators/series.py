@@ -125,3 +125,21 @@ def feature_set(columns: Sequence[str], mode: str) -> list[str]:
     if mode == "ex_post":
         return base + weather_past + weather_now
     raise ValueError(f"unknown weather mode {mode!r}")
+
+
+def frozen_by_phase(df: DataFrame, y: str, time: str, cutoff: str, periods: dict[str, int], key: Sequence[str] = ()) -> DataFrame:
+    """After the cutoff, the last value at or before it with the same phase, for each named period in hours.
+
+    The lookup is one aggregate per period (the latest value of every phase), joined to the horizon by phase: no self-join
+    on time, and a missing hour falls back to the same phase one period earlier. Rows up to the cutoff get null.
+    """
+    cut = F.lit(cutoff).cast("timestamp_ntz")
+    hours = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 3_600_000_000)
+    out = df
+    for name, period in periods.items():
+        phase = F.pmod(hours, F.lit(period))
+        last = (df.where((F.col(time) <= cut) & F.col(y).isNotNull()).groupBy(*key, phase.alias("_phase"))
+                .agg(F.max_by(y, time).alias("_last")))
+        joined = out.withColumn("_phase", phase).join(F.broadcast(last) if not key else last, [*key, "_phase"], "left")
+        out = joined.withColumn(name, F.when(F.col(time) > cut, F.col("_last"))).drop("_phase", "_last")
+    return out

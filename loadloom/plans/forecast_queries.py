@@ -116,6 +116,51 @@ def baselines(spark, sf):
     return _round(out.select("date", "y", "split", F.col("lag1").alias("one_step"), "frozen7", "month_dow"))
 
 
+# Fixed value: the last hour whose value the hourly forecasts may use for a frozen horizon.
+HOUR_CUT = "2024-01-24 23:00:00"
+_HOURLY = f"""h AS (SELECT date_trunc('hour', ts) AS datetime, sum(kwh) AS y FROM r_readings WHERE kwh >= 0 GROUP BY 1),
+    k AS (SELECT *, CAST(floor(epoch(datetime) / 3600) AS BIGINT) AS hr FROM h),
+    a AS (SELECT hr % 24 AS p, arg_max(y, datetime) AS v FROM k WHERE datetime <= TIMESTAMP '{HOUR_CUT}' GROUP BY 1),
+    b AS (SELECT hr % 168 AS p, arg_max(y, datetime) AS v FROM k WHERE datetime <= TIMESTAMP '{HOUR_CUT}' GROUP BY 1),
+    f AS (SELECT k.datetime, y, a.v AS frozen24, b.v AS frozen168 FROM k LEFT JOIN a ON a.p = hr % 24 LEFT JOIN b ON b.p = hr % 168 WHERE datetime > TIMESTAMP '{HOUR_CUT}')"""
+
+
+def hourly_series(spark, sf):
+    """Hourly portfolio with strict-past features and the frozen baselines of the test hours."""
+    h = R.readings(spark, sf).where("kwh >= 0").groupBy(C.hour_start("ts").alias("datetime")).agg(F.sum("kwh").alias("y"))
+    p = series.add_lags(h, "y", "datetime", lags=(1, 24), means=(24,))
+    s, c = C.cyclic(F.hour("datetime"), 24)
+    return series.frozen_by_phase(p.withColumns({"sin_h": s, "cos_h": c}), "y", "datetime", HOUR_CUT, {"frozen24": 24, "frozen168": 168})
+
+
+@query("hourly_baselines", "J5 J1", f"WITH {_HOURLY} SELECT * FROM f")
+def hourly_baselines(spark, sf):
+    return hourly_series(spark, sf).where(F.col("datetime") > F.lit(HOUR_CUT).cast("timestamp_ntz")).select("datetime", "y", "frozen24", "frozen168")
+
+
+@query("hourly_board", "J18 J5 D53", f"""WITH {_HOURLY}, l AS (SELECT 'frozen24' AS model, y, frozen24 AS pred FROM f UNION ALL SELECT 'frozen168', y, frozen168 FROM f),
+    m AS (SELECT model, count(pred) AS n, round(avg(abs(y - pred)), 6) AS mae FROM l GROUP BY model)
+    SELECT * FROM m UNION ALL SELECT 'linear', (SELECT count(*) FROM f), NULL""")
+def hourly_board(spark, sf):
+    """Errors of the frozen baselines and, for the learner, the hours it covers (its error is in ``hourly_learner``)."""
+    return _round(hourly_metrics(spark, sf).select("model", "n", F.when(F.col("model") != "linear", F.col("mae")).alias("mae")), 6)
+
+
+@query("hourly_learner", "J18 J9")
+def hourly_learner(spark, sf):
+    return _round(hourly_metrics(spark, sf), 6)
+
+
+def hourly_metrics(spark, sf):
+    """Point metrics of the frozen baselines and of a linear model of past hours, fitted up to the cutoff."""
+    feats = ["lag1", "lag24", "roll24", "sin_h", "cos_h"]
+    h = stage(hourly_series(spark, sf))
+    cut = F.lit(HOUR_CUT).cast("timestamp_ntz")
+    model = gram.fit_all(gram.gram(h.where(F.col("datetime") <= cut), [], feats, "y"), [], len(feats), 0.001).select("coefficients")
+    test = h.where(F.col("datetime") > cut).crossJoin(F.broadcast(model)).withColumn("linear", F.greatest(F.lit(0.0), gram.predicted(feats)))
+    return E.point_metrics(E.long_predictions(test, ["frozen24", "frozen168", "linear"], ["datetime"]))
+
+
 def _metrics_sql(src, by, extra=""):
     return f"""SELECT {by}{', ' if by else ''}count(*) FILTER (WHERE y IS NOT NULL AND pred IS NOT NULL) AS n, round(avg(abs(y - pred)), 6) AS mae,
       round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(100 * avg(abs((y - pred) / nullif(y, 0))), 6) AS mape,

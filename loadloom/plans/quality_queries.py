@@ -8,6 +8,7 @@ from loadloom.functions import columns as C
 from loadloom.operators import checks, quality
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
+from loadloom.sources.stage import stage
 
 R8 = lambda c: F.round(c, 8)
 
@@ -121,6 +122,21 @@ def approximate_quartiles(spark, sf):
         F.percentile_approx("kwh", [0.25, 0.5, 0.75], 10000).alias("quartiles"))
 
 
+@query("sketch_quartiles", "D11", """
+    SELECT month(date) AS month, p AS quartile, count(*) AS n, TRUE AS within_bound FROM r_meter, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p) GROUP BY ALL""")
+def sketch_quartiles(spark, sf):
+    """Quartiles of months merged from stored (user, month) sketches; ``within_bound`` is true where the exact rank misses by at most 2 %."""
+    m = R.meter(spark, sf).select("user_id", F.month("date").alias("month"), "kwh")
+    cells = stage(quality.sketch_cells(m, "kwh", ["user_id", "month"]))
+    q = quality.sketch_quantiles(cells, ["month"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    asked = q.select("month", F.explode(F.array(*[F.struct(F.lit(p).alias("quartile"), F.col(c).alias("v")) for c, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])).alias("a")).select("month", "a.*")
+    # One row per month and quartile is broadcast; equal values hold a range of ranks.
+    values = m.groupBy("month", "kwh").agg(F.count(F.lit(1)).alias("c"))
+    at = values.join(F.broadcast(stage(asked)), "month").groupBy("month", "quartile").agg(
+        F.sum("c").alias("n"), F.expr("sum(if(kwh < v, c, 0)) / sum(c)").alias("lo"), F.expr("sum(if(kwh <= v, c, 0)) / sum(c)").alias("hi"))
+    return at.selectExpr("month", "quartile", "n", "lo - 0.02D <= quartile AND quartile <= hi + 0.02D AS within_bound")
+
+
 @query("percentile_by_hour", "D9", """
     SELECT hour, round(quantile_cont(kwh, 0.1), 8) AS p10, round(quantile_cont(kwh, 0.5), 8) AS p50,
            round(quantile_cont(kwh, 0.9), 8) AS p90 FROM r_meter GROUP BY hour""")
