@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loadloom.config import DEFAULT
 from loadloom.sources.stage import stage
 
-SLICE = 2048
+SLICE, SLICE_CELLS = 2048, 2_000_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -71,11 +71,12 @@ def _matrix(column: pa.Array, kind: type = float) -> np.ndarray:
     return flat.reshape(len(column), -1) if flat.size else np.zeros((len(column), 0), kind)
 
 
-def _slices(batches, names: Sequence[str]):
-    """Dicts of numpy columns, at most ``SLICE`` rows each."""
+def _slices(batches, names: Sequence[str], wide: int = 1):
+    """Dicts of numpy columns, of at most ``SLICE`` rows and about ``SLICE_CELLS`` cells where a row needs ``wide`` of them."""
+    rows = max(16, min(SLICE, SLICE_CELLS // max(1, wide)))
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            part = b.slice(at, SLICE)
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
             cols = {n: part.column(part.schema.get_field_index(n)) for n in names}
             yield {n: _matrix(c, bool if n == "drawn" else float if n == "x" else np.int64) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
 
@@ -86,7 +87,7 @@ def summed(table: DataFrame, columns: Sequence[str], slots: int, width: int, add
 
     def run(batches):
         totals = np.zeros((slots, width))
-        for rows in _slices(batches, columns):
+        for rows in _slices(batches, columns, slots):
             add(rows, totals)
         met = np.flatnonzero(totals.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(np.ascontiguousarray(totals[met, i])) for i in range(width))], ["slot", *names])
@@ -127,7 +128,7 @@ def first_centres(table: DataFrame, specs: Sequence[Spec]) -> list[np.ndarray]:
         def race(batches, open_=open_, now=now, step=step):
             best: dict[int, tuple[tuple[int, float], list]] = {}
             stack = np.concatenate([now[i] for i in open_]) if step else None
-            for rows in _slices(batches, ("x", "h", "drawn")):
+            for rows in _slices(batches, ("x", "h", "drawn"), len(open_) * max(1, step)):
                 x = rows["x"]
                 square = (x * x).sum(1)
                 far = np.maximum(0, square[:, None] - 2 * x @ stack.T + (stack * stack).sum(1)).reshape(len(x), len(open_), step).min(2) if step else np.ones((len(x), len(open_)))
