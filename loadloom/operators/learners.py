@@ -1,4 +1,4 @@
-"""Regression learners on series features, fitted with MLlib."""
+"""Regression learners on series features: forest and elastic net by MLlib, boosting by ``boosting``."""
 
 from __future__ import annotations
 
@@ -7,25 +7,22 @@ from itertools import product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadloom.config import DEFAULT
 from loadloom.functions import aggregates as A
+from loadloom.operators import boosting
 
 # Candidate settings tried on the validation rows.
 GRIDS = {
-    "gbt": {"stepSize": (0.05, 0.1), "maxDepth": (3, 5)},
     "forest": {"featureSubsetStrategy": ("onethird", "sqrt")},
     "elastic": {"regParam": (0.001, 0.01, 0.1)},
 }
 
 
 def _estimator(kind: str, label: str, seed: int, **params):
-    if kind == "gbt":
-        return GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", maxIter=params.pop("maxIter", 20), subsamplingRate=0.85,
-                            seed=seed, **params)
     if kind == "forest":
         return RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", numTrees=params.pop("numTrees", 40), seed=seed, **params)
     if kind == "elastic":
@@ -48,9 +45,13 @@ def fit_regressor(kind: str, train: DataFrame, val: DataFrame, test: DataFrame,
                   log=True, grid: dict | None = None, seed=DEFAULT.seed, **fixed):
     """Pick settings by validation MAE, refit on train and validation, predict the test rows.
 
-    With boosting the validation rows also stop the iterations early. Returns
-    (test with ``pred``, chosen settings, final model).
+    With boosting (``gbt``) the validation rows also stop the rounds, and the settings are chosen by the validation
+    RMSE of the target that the trees fit. Returns (test with ``pred``, chosen settings, final model).
     """
+    if kind == "gbt":
+        settings = [boosting.Setting(**dict(zip(grid, v))) for v in product(*grid.values())] if grid else None
+        model = boosting.fit(train, val, features, y, settings, log=log, seed=seed, **fixed)[0]
+        return model.predict(test, log=log), dict(vars(model.setting), rounds=len(model.trees)), model
     prep = design(train, features)
     target = F.log1p(y) if log else F.col(y)
 
@@ -69,18 +70,13 @@ def fit_regressor(kind: str, train: DataFrame, val: DataFrame, test: DataFrame,
     try:
         for values in product(*options.values()):
             params = dict(zip(options, values))
-            extra = {"validationIndicatorCol": "_val"} if kind == "gbt" else {}
-            fit_on = both if kind == "gbt" else both.where(~F.col("_val"))
-            model = _estimator(kind, "_y", seed, **params, **fixed, **extra).fit(fit_on)
+            model = _estimator(kind, "_y", seed, **params, **fixed).fit(both.where(~F.col("_val")))
             score = predict(model, both.where("_val")).agg(A.mae(y, "pred").alias("s")).first()["s"]
             if score is not None and (best is None or score < best[0]):
                 best = (score, params, model)
         if best is None:
             raise ValueError("no candidate has a validation score: the validation rows are empty")
-        final = dict(best[1], **fixed)
-        if kind == "gbt":
-            final["maxIter"] = max(1, best[2].getNumTrees)
-        model = _estimator(kind, "_y", seed, **final).fit(both)
+        model = _estimator(kind, "_y", seed, **best[1], **fixed).fit(both)
     finally:
         both.unpersist()
     keep = test.columns

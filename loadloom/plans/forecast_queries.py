@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
-from loadloom.functions import columns as C
-from loadloom.operators import forecast_eval as E, gram, learners, reconcile, series
+from loadloom.functions import aggregates as A, columns as C
+from loadloom.operators import boosting, forecast_eval as E, gram, learners, reconcile, series
 from loadloom.plans import roles as R
 from loadloom.plans.registry import query
 from loadloom.plans.roles_sql import ROLES
@@ -454,6 +456,43 @@ def _fit(kind, mode="operational", **kw):
 
 
 query("gradient_boosting", "J6 J7 J3 J2")(_fit("gbt"))
+
+
+def boosted(t):
+    """One model per weather mode, all settings of all modes grown together, by name of the mode."""
+    feats = [c for c in t.columns if c not in _SKIP]
+    modes = {m: tuple(feats.index(f) for f in series.feature_set(feats, m)) for m in ("none", "operational", "ex_post")}
+    settings = [boosting.Setting(*v, columns=c) for c in modes.values() for v in product(*boosting.GRID.values())]
+    models = boosting.fit(t.where("split = 'train'"), t.where("split = 'val'"), feats, "y", settings)
+    return {m: next(x for x in models if x.setting.columns == c) for m, c in modes.items()}
+
+
+@query("boosting_board", "J6 J7 J18")
+def boosting_board(spark, sf):
+    """Every tried setting of the boosting: best round, rounds grown until patience ran out, validation error, choice."""
+    t = model_table(spark, sf)
+    feats = series.feature_set([c for c in t.columns if c not in _SKIP], "operational")
+    return boosting.board(boosting.fit(t.where("split = 'train'"), t.where("split = 'val'"), feats, "y")[0], spark)
+
+
+@query("boosting_checks", "J6 J15 J18 J31", """
+    WITH s AS (SELECT date, CASE WHEN count(y) OVER v = 28 THEN 1 END AS full_window FROM r_portfolio WINDOW v AS (ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
+    SELECT mode, count(*) AS n_test, TRUE AS finite, TRUE AS beats_weekly_naive, TRUE AS mase_below_one, TRUE AS stopped_by_patience
+    FROM s, (SELECT unnest(['none', 'operational', 'ex_post']) AS mode) WHERE date > DATE '2000-12-31' AND full_window = 1 GROUP BY mode""")
+def boosting_checks(spark, sf):
+    """Boosting per weather mode on the test rows: against the value of a week ago (WAPE) and the weekly differences of the training rows (MASE)."""
+    t = model_table(spark, sf)
+    out = None
+    for mode, model in boosted(t).items():
+        patient = all(rounds < boosting.ROUNDS for *_, rounds, _, _ in model.board)
+        row = model.predict(t.where("split = 'test'")).select("y", "pred", "lag7", F.lit(mode).alias("mode"), F.lit(patient).alias("patient"))
+        out = row if out is None else out.unionByName(row)
+    scale = E.seasonal_scale(t.where("split = 'train'"), m=7)
+    m = out.groupBy("mode").agg(F.count("*").alias("n_test"), F.bool_and(F.expr("pred >= 0 AND pred < 1e300D")).alias("finite"),
+                                (A.wape("y", "pred") < A.wape("y", "lag7")).alias("beats_weekly_naive"), A.mae("y", "pred").alias("mae"), F.bool_and("patient").alias("stopped_by_patience"))
+    return E.add_mase(m, scale).select("mode", "n_test", "finite", "beats_weekly_naive", (F.col("mase") < 1).alias("mase_below_one"), "stopped_by_patience")
+
+
 query("random_forest", "J8")(_fit("forest"))
 query("elastic_net", "J9 J7")(_fit("elastic"))
 
