@@ -76,35 +76,46 @@ def _prints(window: int, gram: int, lengths: list[int], wanted: np.ndarray | Non
     return run
 
 
-def _extend(window: int):
-    """Grow every hit to the longest run of equal words; runs that hold a window count."""
+def _occurring(ids: np.ndarray, own: np.ndarray, need: int, starts: np.ndarray) -> np.ndarray:
+    """The ``starts`` at which ``need`` words of ``ids`` also stand somewhere in ``own``: met by hash, compared word by word."""
+    if not len(starts):
+        return starts
+    g = c.grams(c.mix(own.astype(np.uint64)), need)
+    order = np.argsort(g, kind="stable")
+    mine, theirs = (np.lib.stride_tricks.sliding_window_view(x, need) for x in (ids, own))
+    wanted = c.grams(c.mix(ids.astype(np.uint64)), need)[starts]
+    at, end = (np.searchsorted(g[order], wanted, side) for side in ("left", "right"))
+    found, left = [], np.arange(len(starts))
+    # A second turn only compares windows whose hash met that of a different window.
+    while len(left := left[at[left] < end[left]]):
+        same = (mine[starts[left]] == theirs[order[at[left]]]).all(1)
+        found.append(starts[left[same]])
+        left = left[~same]
+        at[left] += 1
+    return np.concatenate([starts[:0], *found])
+
+
+def _extend(window: int, gram: int):
+    """Extend every hit to the windows around it and keep those that occur in the item; linear in both texts, however repetitive."""
 
     def run(batches):
         for b in batches:
             hit_n, found = [], []
             for text, hits in zip(b.column(1), b.column(2)):
-                words = words_of(text.as_py())
-                covered, items = np.zeros(len(words), bool), []
-                for item in hits.as_py():
-                    own = words_of(item["item_text"])
-                    need, done, any_ = min(window, len(own)), {}, False
-                    for hit in item["at"]:
-                        p, q = hit["p"], hit["q"]
-                        if done.get(p - q, -1) > p:
-                            continue
-                        lo = 0
-                        while p - lo > 0 and q - lo > 0 and words[p - lo - 1] == own[q - lo - 1]:
-                            lo += 1
-                        hi = 0
-                        while p + hi < len(words) and q + hi < len(own) and words[p + hi] == own[q + hi]:
-                            hi += 1
-                        done[p - q] = p + hi
-                        if lo + hi >= need:
-                            covered[p - lo:p + hi] = True
-                            any_ = True
-                    if any_:
-                        items.append(item["item_key"])
-                hit_n.append(int(covered.sum()))
+                number: dict[bytes, int] = {}
+                ids = np.array([number.setdefault(w, len(number)) for w in words_of(text.as_py())], np.int64)
+                edges, items = np.zeros(len(ids) + 1, np.int64), []
+                for item in hits:
+                    own = np.array([number.get(w, -1) for w in words_of(item["item_text"].as_py())], np.int64)
+                    need = min(window, len(own))
+                    places = item["at"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    starts = np.unique(places[:, None] - np.arange(window - gram + 1))
+                    starts = _occurring(ids, own, need, starts[(starts >= 0) & (starts <= len(ids) - need)])
+                    if len(starts):
+                        np.add.at(edges, starts, 1)
+                        np.add.at(edges, starts + need, -1)
+                        items.append(item["item_key"].as_py())
+                hit_n.append(int((edges.cumsum() > 0).sum()))
                 found.append(items)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hit_n, pa.int64()), pa.array(found, pa.list_(pa.binary()))], ["key", "n_hit", "items"])
     return run
@@ -116,8 +127,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     Both tables publish the least 5-word hash of every window of 13 words, so every shared window
     shares a fingerprint at the same place in it. An item shorter than a window publishes itself,
-    and documents publish all their sequences of those lengths. Fingerprints are joined; each hit is extended word by
-    word in both texts, which makes the result exact: only real equal words count. If the
+    and documents publish all their sequences of those lengths. Fingerprints are joined; each hit is extended to the
+    windows that hold it, which are compared with the item word by word, so the result is exact: only real equal words count. If the
     benchmark has at most ``filter_rows`` fingerprints (8 bytes each), they are also sent to
     the tasks to drop other fingerprints before the join; above that all of them are shuffled.
 
@@ -132,7 +143,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     own = stage(texts.select(F.lit(None).cast("string").alias("id"), "text", "key")
                 .mapInArrow(_prints(window, gram, list(range(1, window)), None, True), kinds.format("string")))
     short = [r[0] for r in own.where(f"n_words BETWEEN 1 AND {window - 1}").select(F.col("n_words").cast("int")).distinct().collect()]
-    marks = own.select(F.col("key").alias("item_key"), F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("q"))).alias("f")).select("item_key", "f.*")
+    marks = own.select(F.col("key").alias("item_key"), F.explode(F.arrays_zip(F.col("hashes").alias("h"))).alias("f")).select("item_key", "f.*")
     wanted = None
     if marks.count() <= filter_rows:
         wanted = np.unique(np.array([r[0] for r in marks.select("h").distinct().collect()], np.int64))
@@ -142,13 +153,14 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
                  .mapInArrow(_prints(window, gram, sorted(short), wanted, False), kinds.format(kind)))
     prints = (made.where("size(hashes) > 0").select("key", F.explode(F.arrays_zip(F.col("hashes").alias("h"), F.col("places").alias("p"))).alias("f"))
               .select("key", "f.*").distinct())
-    hits = (prints.join(marks, "h").groupBy("key", "item_key").agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("at"))
+    # Only the places in the document are kept, so repetitive texts meet in |p| rows and not in |p| x |q|.
+    hits = (prints.join(marks.select("item_key", "h").distinct(), "h").groupBy("key", "item_key").agg(F.collect_set("p").alias("at"))
             .join(texts.select(F.col("key").alias("item_key"), F.col("text").alias("item_text")), "item_key")
             .groupBy("key").agg(F.collect_list(F.struct("item_key", "item_text", "at")).alias("hits")))
     hits = stage(hits)
     base = docs.select(c.text_key(text_col).alias("key"), c.text_of(text_col).alias("text"))
     grown = (base.join(hits.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(hits, "key").select("key", "text", "hits")
-             .mapInArrow(_extend(window), "key binary, n_hit long, items array<binary>"))
+             .mapInArrow(_extend(window, gram), "key binary, n_hit long, items array<binary>"))
     grown = stage(grown.where("n_hit > 0"))
     listed = (grown.select("key", F.explode("items").alias("item_key")).join(names, "item_key")
               .groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
