@@ -516,6 +516,9 @@ def weather_mode_ablation(spark, sf):
         pred, _, _ = learners.fit_regressor("elastic", *parts, feats, "y")
         row = pred.withColumns({"mode": F.lit(mode), "model": F.lit("elastic")})
         out = row if out is None else out.unionByName(row)
+    for mode, model in boosted(t).items():
+        pred = model.predict(t.where(F.col("split") == "test"))
+        out = out.unionByName(pred.withColumns({"mode": F.lit(mode), "model": F.lit("boosting")}))
     return E.ablation(E.point_metrics(out, ["mode", "model"]))
 
 
