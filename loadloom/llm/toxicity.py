@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,16 +49,23 @@ class Model:
     bias: float
     slope: float
     shift: float
-    top: int
+    attention: float
 
     def word_logits(self, words: list[str]) -> np.ndarray:
         bucket, owner = subwords(words, len(self.weights))
         return np.bincount(owner, self.weights[bucket], len(words)) / np.bincount(owner, minlength=len(words))
 
-    def bag_logit(self, z: np.ndarray) -> float:
-        """Logit of the bag of the ``top`` most toxic words; missing words count as neutral."""
-        most = np.maximum(np.partition(z, -self.top)[-self.top:] if len(z) > self.top else z, -20.0)
-        return (float(most.sum()) - 20.0 * max(0, self.top - len(most))) / self.top + self.bias
+    def bag_logit(self, z: np.ndarray, counts: np.ndarray) -> float:
+        """Logit of the text's averaged bag, given its distinct words' logits and how often each occurs.
+
+        The average runs over every occurrence, weighted by exp(``attention`` * logit): a
+        softmax attention. The class layer is linear, so the average may be
+        taken of logits instead of embeddings. A text without words has the bias alone.
+        """
+        if not len(z):
+            return self.bias
+        w = counts * np.exp(self.attention * (z - z.max()))
+        return float((w * z).sum() / w.sum()) + self.bias
 
     def score(self, logit: float | np.ndarray):
         return _sigmoid(self.slope * logit + self.shift)
@@ -67,7 +75,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(texts: list[str], toxic: np.ndarray, size: int = 1 << 18, dim: int = 4, top: int = 2, rounds: int = 60, rate: float = 0.3, least_docs: int = 2, clean_weight: float = 10.0,
+def train(texts: list[str], toxic: np.ndarray, size: int = 1 << 18, dim: int = 4, attention: float = 0.3, rounds: int = 60, rate: float = 0.3, least_docs: int = 2, clean_weight: float = 10.0,
           seed: int = 7) -> Model:
     """Embeddings and softmax trained jointly by full-batch Adam on the subword bags of words.
 
@@ -75,15 +83,16 @@ def train(texts: list[str], toxic: np.ndarray, size: int = 1 << 18, dim: int = 4
     document carries its label, which leaves ordinary words undecided and marks those that clean
     documents lack; then only the most toxic words of each toxic document keep it,
     renewed every round, and all others count as clean. A quarter of the documents is kept aside to calibrate the
-    logit of a document's bag, its ``top`` most toxic words, into a probability.
+    logit of a document's bag, averaged with ``attention``, into a probability.
     """
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 4 == 3
     vocab: dict[str, int] = {}
-    tokens = [np.array(sorted({vocab.setdefault(w, len(vocab)) for w in _WORD.findall(t.lower())}), np.int64) for t in texts]
+    bags = [_bag(t, vocab) for t in texts]
+    tokens = [np.sort(w) for w, _ in bags]
     fitted = [i for i in range(len(texts)) if not held[i] and len(tokens[i])]
     if not fitted:
-        return Model(np.zeros(size, np.float32), 0.0, 0.0, -40.0, top)
+        return Model(np.zeros(size, np.float32), 0.0, 0.0, -40.0, attention)
     seen = np.bincount(np.concatenate([tokens[i] for i in fitted]), minlength=len(vocab))
     common = np.flatnonzero(seen >= least_docs)  # a word of one document says nothing about another
     if not len(common):
@@ -133,16 +142,23 @@ def train(texts: list[str], toxic: np.ndarray, size: int = 1 << 18, dim: int = 4
             # the mean root keeps buckets with little evidence close to where they were
             param -= rate * (m / (1 - 0.9 ** step)) / (root + root.mean())
     weights = (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)
-    model = Model(weights, float(b[1] - b[0]), 1.0, 0.0, top)
+    model = Model(weights, float(b[1] - b[0]), 1.0, 0.0, attention)
     word = model.word_logits(names)
-    bag = np.array([model.bag_logit(word[t]) for t in tokens])
-    return _calibrated(model, bag[held] if held.any() else bag, toxic[held] if held.any() else toxic)
+    bag = np.array([model.bag_logit(word[w], n) for w, n in bags])
+    aside = held if len(set(toxic[held])) == 2 else np.ones(len(texts), bool)  # too few texts: calibrate on all
+    return _calibrated(model, bag[aside], toxic[aside])
+
+
+def _bag(text: str, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the text's distinct words in ``vocab``, which grows by new ones, and how often each occurs."""
+    bag = Counter(_WORD.findall(text.lower()))
+    return np.fromiter((vocab.setdefault(w, len(vocab)) for w in bag), np.int64, len(bag)), np.fromiter(bag.values(), np.float64, len(bag))
 
 
-def _calibrated(model: Model, top: np.ndarray, y: np.ndarray, rounds: int = 2000) -> Model:
+def _calibrated(model: Model, bag: np.ndarray, y: np.ndarray, rounds: int = 2000) -> Model:
     """Slope and shift of a logistic fit of the label on the document's bag logit."""
-    mean, scale = top.mean(), top.std() + 1e-9
-    x = (top - mean) / scale
+    mean, scale = bag.mean(), bag.std() + 1e-9
+    x = (bag - mean) / scale
     a, c = 1.0, 0.0
     pos = max(1, int((y > 0).sum()))
     neg = max(1, int((y == 0).sum()))
@@ -151,7 +167,7 @@ def _calibrated(model: Model, top: np.ndarray, y: np.ndarray, rounds: int = 2000
         g = w * (_sigmoid(a * x + c) - y)
         a -= 2.0 * float((g * x).sum() + 1e-4 * a)
         c -= 2.0 * float(g.sum())
-    return Model(model.weights, model.bias, a / scale, c - a * mean / scale, model.top)
+    return Model(model.weights, model.bias, a / scale, c - a * mean / scale, model.attention)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], max_bytes: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
@@ -173,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000,
     """Train on the bounded sample; without both classes every score is 0."""
     texts, y = training_sample(docs, labels, per_class, max_bytes, id_col, text_col)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, -40.0, 2)
+        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, -40.0, 0.3)
     return train(texts, y)
 
 
@@ -182,14 +198,14 @@ def _logits(model: Model, texts: pa.Array, part_chars: int = 1 << 22) -> np.ndar
     out, at = np.zeros(len(texts)), 0
     while at < len(texts):
         vocab: dict[str, int] = {}
-        tokens, size, end = [], 0, at
+        bags, size, end = [], 0, at
         while end < len(texts) and size < part_chars:
-            text = (texts[end].as_py() or "").lower()
+            text = texts[end].as_py() or ""
             size += len(text) + 1
-            tokens.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in set(_WORD.findall(text))), np.int64))
+            bags.append(_bag(text, vocab))
             end += 1
         word = model.word_logits(list(vocab))
-        out[at:end] = [model.bag_logit(word[t]) for t in tokens]
+        out[at:end] = [model.bag_logit(word[w], n) for w, n in bags]
         at = end
     return out
 
@@ -197,7 +213,8 @@ def _logits(model: Model, texts: pa.Array, part_chars: int = 1 << 22) -> np.ndar
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text.
 
-    A null or empty text is scored by the bias alone; a null id is not held out; repeated
+    Every occurrence of every word counts: repeats of a toxic word raise a text's score, words less toxic
+    than the text lower it. A null or empty text is scored by the bias alone; a null id is not held out; repeated
     rows are all scored; other columns are ignored; no rows give no rows.
     """
     kind = dict(docs.dtypes)[id_col]

@@ -1,8 +1,10 @@
 """Every corpus operator against a brute-force version on small tables, with the odd cases each must survive."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -245,6 +247,35 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs, none).agg(F.max("score")).first()[0] < 1e-6
 
 
+def test_toxicity_bag_is_an_average_over_occurrences():
+    r = np.random.default_rng(1)
+    base = [f"{a}{b}" for a in ("tion", "ander", "ing", "lo", "sta") for b in ("re", "men", "low", "der", "s", "ting")]
+    texts = [" ".join([*r.choice(base, 40), *(r.choice(["vilefool", "scumbag"], 1) if i % 3 == 0 else [])]) for i in range(300)]
+    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(300)]))
+
+    def logit(text, model=model):
+        return toxicity._logits(model, pa.array([text]))[0]
+
+    def brute(text):
+        z = [float(model.word_logits([w])[0]) for w in text.lower().split()]
+        weight = [math.exp(model.attention * (x - max(z))) for x in z]
+        return sum(a * b for a, b in zip(weight, z)) / sum(weight) + model.bias
+
+    clean = " ".join(r.choice(base, 2_000))
+    for text in ("vilefool", "vilefool ander", clean, clean + " vilefool", clean + " Vilefool" * 300, "staof"):
+        assert abs(logit(text) - brute(text)) < 1e-6
+    high = lambda text: model.score(logit(text)) >= 0.7
+    assert high("vilefool") and high("vilefool " * 200) and high("vilefool scumbag")  # one word, repeated or not
+    assert high(clean + " vilefool" * 300) and high("vilefool " + clean) and not high(clean)
+    # repeats never lower the score, clean words never raise it
+    up = [logit(clean + " vilefool" * n) for n in (0, 1, 3, 30, 300)]
+    assert all(a <= b for a, b in zip(up, up[1:])) and up[0] < up[1] < up[-1]
+    flat = replace(model, attention=0.05)  # so that a few clean words show
+    down = [logit("vilefool " + " ".join(base[:n]), flat) for n in range(len(base))]
+    assert all(a > b for a, b in zip(down, down[1:]))
+    assert logit("") == logit("...") == model.bias and not high("")
+
+
 # ---- simhash
 
 def test_simhash(docs, empty):
