@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loadloom.config import DEFAULT
 from loadloom.operators.ranks import percentiles, top_k_per_group
+from loadloom.sources.stage import stage
 
 
 def fit_clusters(df: DataFrame, algo: str, k: int, features="pcs", seed=DEFAULT.seed, starts=3):
@@ -71,6 +72,13 @@ def anomalies(df: DataFrame, label="cluster", distance="distance", p=0.95) -> Da
     return (df.join(F.broadcast(cut), label).withColumn("is_anomalous", F.col(distance) > F.col("limit")))
 
 
+def anomaly_share(df: DataFrame, cols: Sequence[str], label="cluster", p=0.95, digits=9) -> DataFrame:
+    """Percentage of each cluster's rows that lie beyond the percentile of distance to its centroid; rows with a null take no part."""
+    full = df.dropna(subset=[label, *cols]).select(label, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    d = centroid_distance(full, "_x", label).withColumn("distance", F.round("distance", digits)).drop("_x")
+    return anomalies(stage(d), label, p=p).groupBy(label).agg((100 * F.avg(F.col("is_anomalous").cast("int"))).alias("anomaly_pct"))
+
+
 def representatives(df: DataFrame, label="cluster", distance="distance", key="user_id", k=3) -> DataFrame:
     """The ``k`` rows nearest to their centroid; each task first keeps its own best ``k`` per cluster."""
     return top_k_per_group(df, [label], [F.col(distance), F.col(key)], k, "representative_rank")

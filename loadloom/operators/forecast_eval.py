@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,14 +168,69 @@ def ablation(metrics: DataFrame, mode_col="mode", base="operational", metric="wa
     return metrics.join(F.broadcast(b), list(by), "left").withColumn("delta", F.col(metric) - F.col("_b")).drop("_b")
 
 
-def evidence(metrics: DataFrame, intervals: DataFrame, metric="wape") -> DataFrame:
-    """Headline rows: the best model, the worst model and the worst-covered slice."""
-    m = metrics.selectExpr("model AS subject", f"{metric} AS value")
-    best = m.orderBy("value", "subject").limit(1).withColumn("finding", F.lit("best_model"))
-    worst = m.orderBy(F.desc_nulls_last("value"), "subject").limit(1).withColumn("finding", F.lit("worst_model"))
-    cov = (intervals.selectExpr("concat(slice_type, '=', slice_value) AS subject", "coverage AS value").where("value IS NOT NULL")
-           .orderBy(F.round("value", 9), "subject").limit(1).withColumn("finding", F.lit("worst_coverage")))
-    return best.unionByName(worst).unionByName(cov).select("finding", "subject", "value")
+def _extreme(df: DataFrame, finding: str, subject: str, value: str, largest=False) -> DataFrame:
+    """The row with the least (or largest) value, ties by subject; none where there is no value."""
+    rows = df.selectExpr(f"'{finding}' AS finding", f"string({subject}) AS subject", f"double({value}) AS value").where("value IS NOT NULL")
+    key = F.round("value", 9)
+    return rows.orderBy(key.desc() if largest else key, "subject").limit(1)
+
+
+def evidence(metrics: DataFrame, intervals: DataFrame, reconciled: DataFrame | None = None, scope: DataFrame | None = None,
+             special: DataFrame | None = None, metric="wape") -> DataFrame:
+    """Headline rows (finding, subject, value) of a forecasting run, one per table that is given.
+
+    Best and worst model, the slice with the least coverage, the best reconciled forecast, the share of the energy that
+    clusters cover per period, and the season in which the special segment is covered worst.
+    """
+    out = [_extreme(metrics, "best_model", "model", metric), _extreme(metrics, "worst_model", "model", metric, largest=True),
+           _extreme(intervals, "worst_coverage", "concat(slice_type, '=', slice_value)", "coverage")]
+    if reconciled is not None:
+        out.append(_extreme(reconciled, "best_reconciliation", "model", metric))
+    if scope is not None:
+        out.append(scope.selectExpr("'clustered_energy_pct' AS finding", "period AS subject", "pct_kwh AS value"))
+    if special is not None:
+        out.append(_extreme(special.where("slice_type = 'season'"), "special_segment_coverage", "slice_value", "coverage"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def ablation_evidence(metrics: DataFrame, metric="wape", mode_col="mode") -> DataFrame:
+    """Two rows per learner: what leaving the weather out adds to the error, and what knowing only past weather adds."""
+    modes = {m: F.max(F.when(F.col(mode_col) == m, F.col(metric))).alias(m) for m in ("none", "operational", "ex_post")}
+    return metrics.groupBy("model").agg(*modes.values()).selectExpr(
+        "inline(array(named_struct('finding', 'weather_ablation', 'subject', model, 'value', none - ex_post), "
+        "named_struct('finding', 'operational_weather_cost', 'subject', model, 'value', operational - ex_post)))")
+
+
+def residual_series(df: DataFrame, models: Sequence[str], keep: Sequence[str], y="y") -> DataFrame:
+    """(keep, model, residual): actual minus predicted value of every row and model; null where either is."""
+    return long_predictions(df, models, keep, y).select(*keep, "model", (F.col(y) - F.col("pred")).alias("residual"))
+
+
+def time_slice(df: DataFrame, models: Sequence[str], time: str, start: str, days=7, y="y") -> DataFrame:
+    """Actual and predicted values of the ``days`` from ``start`` on, one row per time and series."""
+    begin = F.lit(start).cast("timestamp_ntz")
+    at = F.col(time).cast("timestamp_ntz")
+    part = df.where((at >= begin) & (at < begin + F.make_dt_interval(F.lit(days))))
+    return part.unpivot([time], [F.col(y).cast("double").alias("actual"), *[F.col(m).cast("double").alias(m) for m in models]], "series", "value")
+
+
+def calibration_assessment(intervals: DataFrame, calibration: DataFrame, alerts: DataFrame, group="cluster", special=0, rule_factor=1.5,
+                           target=90.0) -> DataFrame:
+    """One row per group: test error and coverage, its calibration, its alerts, and whether it needs a calibration of its own.
+
+    ``intervals`` are the test rows with y, pred, lo and hi; ``calibration`` has safety_factor and qhat per group; ``alerts`` are
+    rows of ``coverage_alerts``. Only the ``special`` group can need its own calibration: when it uses at least the rule's
+    factor, is covered below ``target`` or has an alert above the level of months.
+    """
+    m = intervals.groupBy(group).agg(F.count(F.lit(1)).alias("n_test"), A.wape("y", "pred").alias("wape"), A.coverage("y", "lo", "hi").alias("coverage_test"))
+    a = alerts.groupBy(group).agg(F.count(F.lit(1)).alias("n_alerts"), F.bool_or(F.col("alert_level") != "diagnostic_month").alias("has_group_alert"),
+                                  F.min("coverage").alias("worst_coverage"))
+    j = (m.join(F.broadcast(calibration.select(group, "safety_factor", "qhat")), group, "left").join(F.broadcast(a), group, "left")
+         .fillna({"n_alerts": 0, "has_group_alert": False}))
+    low = f"coalesce(coverage_test < {float(target)!r}D, false)"
+    j = j.withColumn("needs_calibration", F.expr(f"coalesce({group} = {special}, false) AND (coalesce(safety_factor >= {float(rule_factor)!r}D, false) OR {low} OR has_group_alert)"))
+    return j.withColumn("recommendation", F.expr(f"""CASE WHEN needs_calibration THEN 'own calibration' WHEN {group} = {special} THEN 'own monitoring'
+        WHEN {low} THEN 'standard with follow-up' ELSE 'standard' END"""))
 
 
 def rolling_refit(df: DataFrame, date: str, y: str, features: Sequence[str], cutoffs: Sequence[str], horizon=DEFAULT.cv_horizon, calibration_days=90, alpha=0.10,

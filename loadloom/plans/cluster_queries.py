@@ -12,6 +12,7 @@ from loadloom.operators import clusters, features, many_fits, matrix, reports, s
 from loadloom.operators.ranks import scaled_ranks as rank_columns
 from loadloom.plans import roles as R
 from loadloom.plans.feature_queries import context
+from loadloom.plans.forecast_queries import assessment
 from loadloom.plans.registry import query
 from loadloom.plans.roles_sql import ROLES
 from loadloom.sources.stage import stage
@@ -500,17 +501,33 @@ _Q_SQL = " UNION ALL ".join(
     for q, h, m in segments.QUESTIONS)
 
 
+_SHARES = ["peak_share", "valley_share", "flat_share", "zero_day_rate", "low_day_rate"]
+ROLES["r_anomaly"] = f"""WITH x AS (SELECT cluster, [{', '.join(_SHARES)}] AS x FROM r_seg WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _SHARES)}),
+    c AS (SELECT cluster, [{', '.join(f'avg(x[{i + 1}])' for i in range(len(_SHARES)))}] AS c FROM x GROUP BY cluster),
+    d AS (SELECT cluster, round(list_distance(x, c), 9) AS d FROM x JOIN c USING (cluster)), l AS (SELECT cluster, quantile_cont(d, 0.95) AS lim FROM d GROUP BY cluster)
+    SELECT cluster, 100 * avg(CAST(d > lim AS INTEGER)) AS anomaly_pct FROM d JOIN l USING (cluster) GROUP BY cluster"""
+
+
+@query("anomaly_share", "I16 I23", "SELECT cluster, round(anomaly_pct, 6) AS anomaly_pct FROM r_anomaly")
+def anomaly_share(spark, sf):
+    return _round(clusters.anomaly_share(seg(spark, sf), _SHARES), 6)
+
+
 @query("question_grid", "B38 I23 C10 C13 F4", _ENRICH + f""", te AS (SELECT cluster, max(enrichment_ratio) FILTER (WHERE is_interpretable) AS top_enrichment FROM r GROUP BY cluster),
     cv AS (SELECT cluster, count(activity_group) AS n_known, 100.0 * count(activity_group) / count(*) AS coverage_pct FROM r_seg GROUP BY cluster),
-    b AS (SELECT p.*, te.top_enrichment, cv.n_known, cv.coverage_pct, NULL::BOOLEAN AS needs_calibration, NULL::DOUBLE AS coverage_test, NULL::BIGINT AS n_alerts, NULL::DOUBLE AS anomaly_pct
-      FROM ({_BP}) p LEFT JOIN te USING (cluster) LEFT JOIN cv USING (cluster)), q AS ({_Q_SQL})
+    b AS (SELECT p.*, te.top_enrichment, cv.n_known, cv.coverage_pct, f.needs_calibration, f.coverage_test, f.n_alerts, an.anomaly_pct
+      FROM ({_BP}) p LEFT JOIN te USING (cluster) LEFT JOIN cv USING (cluster) LEFT JOIN r_assess f USING (cluster) LEFT JOIN r_anomaly an USING (cluster)), q AS ({_Q_SQL})
     SELECT cluster, question, strength, strength = 'high' AS is_primary, list_position(['high', 'medium', 'context'], strength) AS strength_order FROM q""")
 def question_grid(spark, sf):
     s = seg(spark, sf)
     prof = segments.cluster_profiles(s, ["ratio_night_day", "zero_day_rate", "low_day_rate", "peak_share", "valley_share"])
     rich = segments.enrichment(s, "activity_group", min_n=3).where("is_interpretable").groupBy("cluster").agg(F.max("enrichment_ratio").alias("top_enrichment"))
     cov = segments.coverage_of_category(s, "activity_group").select("cluster", "n_known", "coverage_pct")
-    base = prof.join(rich, "cluster", "left").join(cov, "cluster", "left")
+    odd = clusters.anomaly_share(s, _SHARES)
+    quality = assessment(spark, sf).select("cluster", "needs_calibration", "coverage_test", "n_alerts")
+    base = prof
+    for part in (rich, cov, odd, quality):  # a row per cluster each
+        base = base.join(F.broadcast(part), "cluster", "left")
     return segments.question_grid(base).select("cluster", "question", "strength", "is_primary", "strength_order")
 
 

@@ -228,6 +228,19 @@ def hourly_error_profile(spark, sf):
                                                          F.avg(F.expr("y - lag24")).alias("residual")), 6)
 
 
+@query("residual_series", "D53", "SELECT date, model, round(y - pred, 6) AS residual FROM r_long WHERE year(date) = 2001")
+def residual_series(spark, sf):
+    return _round(E.residual_series(R.forecast(spark, sf).where(TEST), MODELS, ["date"]), 6)
+
+
+@query("hourly_week", "D53", f"""WITH {_HOURLY} SELECT datetime, unnest(['actual', 'frozen24', 'frozen168']) AS series, unnest([y, frozen24, frozen168]) AS value
+    FROM f WHERE datetime < TIMESTAMP '{HOUR_CUT}' + INTERVAL 7 DAY""")
+def hourly_week(spark, sf):
+    """Actual and predicted hours of the week after the cut."""
+    h = hourly_series(spark, sf).where(F.col("datetime") > F.lit(HOUR_CUT).cast("timestamp_ntz"))
+    return E.time_slice(h, ["frozen24", "frozen168"], "datetime", HOUR_CUT)
+
+
 _CONF = """WITH r AS (SELECT abs(y - rolling) AS r FROM r_forecast WHERE year(date) = 2000 AND rolling IS NOT NULL), n AS (SELECT count(*) AS n FROM r),
     k AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM r),
     q AS (SELECT (SELECT r FROM k WHERE i = least(n, CAST(ceil((n + 1) * 0.9 - 1e-9) AS BIGINT))) AS q, (SELECT r FROM k WHERE i = CAST(ceil(n * 0.9 - 1e-9) AS BIGINT)) AS plain, n FROM n)
@@ -335,17 +348,6 @@ def forecast_leaderboard(spark, sf):
     return _round(both.select("target", "model", "wape", "mae"), 6)
 
 
-@query("evidence_summary", "J30", _MOND + """, m AS (SELECT model AS subject, 100 * sum(abs(y - pred)) / sum(CASE WHEN pred IS NOT NULL THEN abs(y) END) AS value FROM r_long WHERE year(date) = 2001 GROUP BY model),
-    c AS (SELECT 'season=' || season AS subject, 100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)) AS value FROM iv GROUP BY season)
-    SELECT 'best_model' AS finding, subject, round(value, 6) AS value FROM (SELECT * FROM m ORDER BY value, subject LIMIT 1)
-    UNION ALL SELECT 'worst_model', subject, round(value, 6) FROM (SELECT * FROM m ORDER BY value DESC, subject LIMIT 1)
-    UNION ALL SELECT 'worst_coverage', subject, round(value, 6) FROM (SELECT * FROM c ORDER BY round(value, 9), subject LIMIT 1)""")
-def evidence_summary(spark, sf):
-    m = E.point_metrics(long_forecast(spark, sf).where(TEST))
-    i = E.interval_slices(mondrian_intervals(spark, sf), {"season": E.SEASON_SQL.format(d="date")})
-    return _round(E.evidence(m, i), 6)
-
-
 @query("stacked_blend", "J10", """
     WITH v AS (SELECT * FROM r_forecast WHERE year(date) = 2000 AND weekly IS NOT NULL AND rolling IS NOT NULL),
     g AS (SELECT sum(weekly * weekly) AS a, sum(weekly * rolling) AS b, sum(rolling * rolling) AS c, sum(weekly * y) AS p, sum(rolling * y) AS q FROM v),
@@ -421,6 +423,67 @@ def scope_coverage(spark, sf):
     return _round(reconcile.scope_coverage(R.cluster_daily(spark, sf).where("cluster > 0"), R.portfolio(spark, sf), periods), 6)
 
 
+def _reconciled(spark, sf):
+    """Test days with the bottom-up, the top-down and the combined forecast."""
+    r = stage(_recon(spark, sf))
+    return reconcile.combine(r.where(TEST), reconcile.inverse_variance(r.where(VAL), "bottom_up", "top_down", "actual"), "bottom_up", "top_down")
+
+
+def evidence_rows(spark, sf):
+    iv = stage(mondrian_intervals(spark, sf))
+    recon = E.long_predictions(_reconciled(spark, sf), ["bottom_up", "top_down", "combined"], ["date"], "actual")
+    scope = reconcile.scope_coverage(R.cluster_daily(spark, sf).where("cluster > 0"), R.portfolio(spark, sf), {"test": TEST})
+    return E.evidence(E.point_metrics(long_forecast(spark, sf).where(TEST)), E.interval_slices(iv, {"season": E.SEASON_SQL.format(d="date")}),
+                      E.point_metrics(recon, y="actual"), scope, E.segment_review(iv.where("cluster = 0")))
+
+
+_WAPE = "100 * sum(abs(y - pred)) / sum(CASE WHEN pred IS NOT NULL THEN abs(y) END)"
+
+
+@query("evidence_summary", "J30", _MOND + f""", m AS (SELECT model AS subject, {_WAPE} AS value FROM r_long WHERE year(date) = 2001 GROUP BY model),
+    c AS (SELECT 'season=' || season AS subject, 100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)) AS value FROM iv GROUP BY season),
+    sp AS (SELECT season AS subject, 100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)) AS value FROM iv WHERE cluster = 0 GROUP BY season),
+    j AS (SELECT date, actual, bottom_up, weekly * share AS top_down FROM r_bu JOIN (SELECT date, weekly FROM r_forecast) USING (date), r_share),
+    v AS (SELECT var_samp(actual - bottom_up) AS a, var_samp(actual - top_down) AS b FROM j WHERE year(date) = 2000),
+    x AS (SELECT actual AS y, unnest(['bottom_up', 'top_down', 'combined']) AS subject, unnest([bottom_up, top_down, (1 / a) / (1 / a + 1 / b) * bottom_up + (1 / b) / (1 / a + 1 / b) * top_down]) AS pred
+      FROM j, v WHERE year(date) = 2001),
+    rc AS (SELECT subject, {_WAPE} AS value FROM x GROUP BY subject),
+    sc AS (SELECT 100 * sum(ky) / sum(y) AS value FROM (SELECT date, sum(y) AS ky FROM r_cluster_daily WHERE cluster > 0 GROUP BY date) JOIN (SELECT date, y FROM r_portfolio) USING (date) WHERE year(date) = 2001)
+    SELECT 'best_model' AS finding, subject, round(value, 6) AS value FROM (SELECT * FROM m ORDER BY round(value, 9), subject LIMIT 1)
+    UNION ALL SELECT 'worst_model', subject, round(value, 6) FROM (SELECT * FROM m ORDER BY round(value, 9) DESC, subject LIMIT 1)
+    UNION ALL SELECT 'worst_coverage', subject, round(value, 6) FROM (SELECT * FROM c ORDER BY round(value, 9), subject LIMIT 1)
+    UNION ALL SELECT 'best_reconciliation', subject, round(value, 6) FROM (SELECT * FROM rc ORDER BY round(value, 9), subject LIMIT 1)
+    UNION ALL SELECT 'clustered_energy_pct', 'test', round(value, 6) FROM sc
+    UNION ALL SELECT 'special_segment_coverage', subject, round(value, 6) FROM (SELECT * FROM sp ORDER BY round(value, 9), subject LIMIT 1)""")
+def evidence_summary(spark, sf):
+    return _round(evidence_rows(spark, sf), 6)
+
+
+ALERT_COVERAGE = 97  # percent of covered days below which a group, season or month is reported
+
+ROLES["r_assess"] = _MOND + f""", s AS (SELECT cluster, y, lo, hi, unnest(['group', 'season', 'month']) AS slice_type, unnest(['all', season, strftime(date, '%Y-%m')]) AS slice_value FROM iv),
+    al AS (SELECT cluster, slice_type, slice_value, 100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)) AS coverage FROM s GROUP BY ALL),
+    ax AS (SELECT cluster, count(*) AS n_alerts, bool_or(slice_type <> 'month') AS has_group_alert, min(coverage) AS worst_coverage FROM al WHERE coverage < {ALERT_COVERAGE} GROUP BY cluster),
+    pm AS (SELECT cluster, count(*) AS n_test, {_WAPE} AS wape, 100 * avg(CAST(y BETWEEN lo AND hi AS INTEGER)) AS coverage_test FROM iv GROUP BY cluster)
+    SELECT cluster, n_test, wape, coverage_test, k::DOUBLE AS safety_factor, q * k AS qhat, coalesce(n_alerts, 0) AS n_alerts, coalesce(has_group_alert, FALSE) AS has_group_alert, worst_coverage,
+      cluster = 0 AND (coalesce(k >= 1.5, FALSE) OR coalesce(coverage_test < 90, FALSE) OR coalesce(has_group_alert, FALSE)) AS needs_calibration
+    FROM pm LEFT JOIN (SELECT cluster, q, k FROM fa) USING (cluster) LEFT JOIN ax USING (cluster)"""
+
+
+def assessment(spark, sf):
+    """Forecast quality, calibration and alerts of every cluster."""
+    iv = stage(mondrian_intervals(spark, sf))
+    calibration = E.calibrate(stage(cluster_residuals(spark, sf).where(VAL)), "resid", ["cluster"])
+    return E.calibration_assessment(iv, calibration, E.coverage_alerts(iv, min_cov=ALERT_COVERAGE))
+
+
+@query("calibration_assessment", "I23 J22", """SELECT cluster, n_test, round(wape, 6) AS wape, round(coverage_test, 6) AS coverage_test, safety_factor, round(qhat, 6) AS qhat, n_alerts, has_group_alert,
+    round(worst_coverage, 6) AS worst_coverage, needs_calibration, CASE WHEN needs_calibration THEN 'own calibration' WHEN cluster = 0 THEN 'own monitoring'
+    WHEN coverage_test < 90 THEN 'standard with follow-up' ELSE 'standard' END AS recommendation FROM r_assess""")
+def calibration_assessment(spark, sf):
+    return _round(assessment(spark, sf), 6)
+
+
 @query("rolling_origin_means", "J25", """
     WITH f AS (SELECT unnest([1, 2, 3, 4, 5]) AS fold, unnest([DATE '2001-03-31', DATE '2001-04-30', DATE '2001-05-30', DATE '2001-06-29', DATE '2001-07-29']) AS cut),
     m AS (SELECT fold, month(date) AS m, isodow(date) AS d, avg(y) AS pred FROM r_portfolio, f WHERE date <= cut GROUP BY ALL)
@@ -506,8 +569,8 @@ def feature_importance(spark, sf):
     return learners.importance(model, feats, spark)
 
 
-@query("weather_mode_ablation", "J4 J31")
-def weather_mode_ablation(spark, sf):
+def mode_metrics(spark, sf):
+    """Test metrics of the elastic net and the boosting in every weather mode."""
     t = model_table(spark, sf)
     out = None
     for mode in ("none", "operational", "ex_post"):
@@ -519,7 +582,18 @@ def weather_mode_ablation(spark, sf):
     for mode, model in boosted(t).items():
         pred = model.predict(t.where(F.col("split") == "test"))
         out = out.unionByName(pred.withColumns({"mode": F.lit(mode), "model": F.lit("boosting")}))
-    return E.ablation(E.point_metrics(out, ["mode", "model"]))
+    return E.point_metrics(out, ["mode", "model"])
+
+
+@query("weather_mode_ablation", "J4 J31")
+def weather_mode_ablation(spark, sf):
+    return E.ablation(mode_metrics(spark, sf))
+
+
+@query("model_evidence", "J30 J31")
+def model_evidence(spark, sf):
+    """The headline rows of ``evidence_summary`` and what weather is worth to each learner."""
+    return _round(evidence_rows(spark, sf).unionByName(E.ablation_evidence(stage(mode_metrics(spark, sf)))), 6)
 
 
 _CLUSTER_FEATURES = ["lag1", "lag7", "roll7", "dow"]

@@ -390,3 +390,60 @@ def test_feature_modes():
     cols = ["lag1", "tmean", "tmean_lag1", "dow"]
     assert series.feature_set(cols, "none") == ["lag1", "dow"]
     assert "tmean" not in series.feature_set(cols, "operational") and "tmean" in series.feature_set(cols, "ex_post")
+
+
+# --- evidence, residuals and the forecast assessment of clusters ---------------------
+
+
+def test_evidence_takes_extremes_and_skips_missing_tables(spark):
+    m = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", None), ("d", 1.0)], "model string, wape double")
+    i = spark.createDataFrame([("season", "winter", 91.0), ("season", "summer", None), ("season", "autumn", 88.0)], "slice_type string, slice_value string, coverage double")
+    assert [tuple(r) for r in E.evidence(m, i).collect()] == [("best_model", "b", 1.0), ("worst_model", "a", 3.0), ("worst_coverage", "season=autumn", 88.0)]
+    scope = spark.createDataFrame([("test", 42.0)], "period string, pct_kwh double")
+    full = E.evidence(m, i, m.where("model = 'a'"), scope, i)
+    assert {tuple(r) for r in full.collect()} >= {("best_reconciliation", "a", 3.0), ("clustered_energy_pct", "test", 42.0), ("special_segment_coverage", "autumn", 88.0)}
+    assert E.evidence(m.limit(0), i.limit(0)).count() == 0
+
+
+def test_ablation_evidence_per_learner(spark):
+    m = spark.createDataFrame([("none", "a", 9.0), ("operational", "a", 7.5), ("ex_post", "a", 7.0), ("none", "b", 5.0), ("ex_post", "b", 6.0)], "mode string, model string, wape double")
+    got = {(r.finding, r.subject): r.value for r in E.ablation_evidence(m).collect()}
+    assert got == {("weather_ablation", "a"): 2.0, ("operational_weather_cost", "a"): 0.5, ("weather_ablation", "b"): -1.0, ("operational_weather_cost", "b"): None}
+
+
+def test_residual_series_and_week_slice(spark):
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h), None if h == 3 else h - 1.0) for h in range(24 * 9)]
+    f = spark.createDataFrame(rows, "t timestamp_ntz, y double, p double")
+    res = {r.t: r.residual for r in E.residual_series(f, ["p"], ["t"]).collect()}
+    assert len(res) == len(rows) and res[rows[3][0]] is None and {v for v in res.values() if v is not None} == {1.0}
+    week = E.time_slice(f, ["p"], "t", "2024-01-02 00:00:00").collect()
+    assert len(week) == 2 * 24 * 7 and {r.series for r in week} == {"actual", "p"}
+    assert min(r.t for r in week) == dt.datetime(2024, 1, 2) and max(r.t for r in week) == dt.datetime(2024, 1, 8, 23)
+    assert {r.value for r in week if r.series == "actual"} == {float(h) for h in range(24, 24 * 8)}
+
+
+def test_calibration_assessment_of_clusters(spark):
+    # cluster 0 and 1 are covered on 8 of 10 days, cluster 2 always; cluster 3 has neither calibration nor alerts
+    days = [(c, 10.0, 9.0, 8.0, 9.5 if c < 2 and d < 2 else 12.0) for c in range(4) for d in range(10)]
+    iv = spark.createDataFrame(days, "cluster int, y double, pred double, lo double, hi double")
+    cal = spark.createDataFrame([(0, 1.0, 2.0), (1, 2.0, 2.0), (2, 1.5, 2.0)], "cluster int, safety_factor double, qhat double")
+    alerts = spark.createDataFrame([(0, "group", 80.0), (0, "diagnostic_month", 70.0), (1, "diagnostic_month", 60.0)], "cluster int, alert_level string, coverage double")
+    got = {r.cluster: r for r in E.calibration_assessment(iv, cal, alerts).collect()}
+    assert [got[c].recommendation for c in range(4)] == ["own calibration", "standard with follow-up", "standard", "standard"]
+    assert [got[c].n_alerts for c in range(4)] == [2, 1, 0, 0] and [got[c].has_group_alert for c in range(4)] == [True, False, False, False]
+    assert [got[c].coverage_test for c in range(4)] == [80.0, 80.0, 100.0, 100.0] and got[0].worst_coverage == 70.0 and got[3].safety_factor is None
+    assert all(abs(r.wape - 10) < 1e-9 and r.n_test == 10 for r in got.values())
+    calm = E.calibration_assessment(iv.where("cluster = 2").selectExpr("0 AS cluster", "y", "pred", "lo", "hi"), cal, alerts.limit(0)).first()
+    assert calm.recommendation == "own monitoring" and calm.n_alerts == 0
+
+
+def test_anomaly_share_equals_numpy(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(c), float(a), float(b)) for c, (a, b) in zip(r.integers(0, 3, 200), r.normal(size=(200, 2)))]
+    df = spark.createDataFrame([*rows, (0, None, 1.0), (7, 1.0, 1.0)], "cluster int, a double, b double")
+    got = {x.cluster: x.anomaly_pct for x in clusters.anomaly_share(df, ["a", "b"]).collect()}
+    for c in range(3):
+        x = np.array([v[1:] for v in rows if v[0] == c])
+        d = np.round(np.sqrt(((x - x.mean(0)) ** 2).sum(1)), 9)
+        assert abs(got[c] - 100 * (d > np.quantile(d, 0.95)).mean()) < 1e-9
+    assert got[7] == 0.0 and set(got) == {0, 1, 2, 7}
