@@ -25,17 +25,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_readings_csv(spark: SparkSession, path: str, name_regex: str = USER_FILE, null: str = "NA",
-                      file_glob: str = ONE_FILE_PER_USER) -> DataFrame:
+                      file_glob: str = ONE_FILE_PER_USER, name_col: str | None = None) -> DataFrame:
     """Reading files named by their user: the id is the 64-character name.
 
     The schema is explicit, so no inference pass runs. Other files in the folder
     are skipped before they are opened. A user may also be a folder
-    ``<id>.csv`` of part files, read with ``file_glob="*.csv"``.
+    ``<id>.csv`` of part files, read with ``file_glob="*.csv"``. Bundles hold the lines of many
+    users' files, each with its file's name in the first column, ``name_col``; opening and
+    listing then cost what the bytes cost, however many users there are.
     """
-    raw = (spark.read.schema(READING_SCHEMA).option("header", True).option("nullValue", null)
+    schema = T.StructType([*([T.StructField(name_col, T.StringType())] if name_col else []), *READING_SCHEMA.fields])
+    raw = (spark.read.schema(schema).option("header", True).option("nullValue", null)
            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("recursiveFileLookup", True)
            .option("pathGlobFilter", file_glob).csv(path))
-    user = F.regexp_extract(F.col("_metadata.file_path"), name_regex, 1)
+    user = F.regexp_extract(F.col(name_col) if name_col else F.col("_metadata.file_path"), name_regex, 1)
     return raw.select(user.alias("user_id"), F.col("index").alias("ts"), F.year("index").alias("year"),
                       F.month("index").alias("month"), F.col("kWh").cast("float").alias("kwh"))
 
