@@ -60,10 +60,12 @@ def prepared(df: DataFrame, key: str, features: str, draws: int = 0, fraction: f
     """The written table (key, x, h, drawn, kept columns): h decides random picks, ``drawn`` the membership of every draw.
 
     Both are hashes of the key, so a repeated task sees the same ones. Rows with a null vector are left out.
+    A row is a few hundred bytes and thousands of fits, so rows are dealt over all cores and not by their bytes.
     """
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     drawn = F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed * 1009 + b)), F.lit(100000)) < int(fraction * 100000) for b in range(draws)]).cast("array<boolean>")
     return stage(df.where(F.col(features).isNotNull()).select(
-        key, F.col(features).cast("array<double>").alias("x"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), drawn.alias("drawn"), *keep))
+        key, F.col(features).cast("array<double>").alias("x"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), drawn.alias("drawn"), *keep).repartition(tasks, key))
 
 
 def _matrix(column: pa.Array, kind: type = float) -> np.ndarray:
@@ -81,13 +83,16 @@ def _slices(batches, names: Sequence[str], wide: int = 1):
             yield {n: _matrix(c, bool if n == "drawn" else float if n == "x" else np.int64) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
 
 
-def summed(table: DataFrame, columns: Sequence[str], slots: int, width: int, add: Callable[[dict, np.ndarray], None]) -> np.ndarray:
-    """slots x width totals over all rows. ``add(rows, totals)`` folds a slice of rows in; a task returns one row per slot it met."""
+def summed(table: DataFrame, columns: Sequence[str], slots: int, width: int, add: Callable[[dict, np.ndarray], None], wide: int | None = None) -> np.ndarray:
+    """slots x width totals over all rows. ``add(rows, totals)`` folds a slice of rows in; a task returns one row per slot it met.
+
+    ``wide`` is the number of cells that ``add`` needs for a row (by default one per slot).
+    """
     names = [f"v{i}" for i in range(width)]
 
     def run(batches):
         totals = np.zeros((slots, width))
-        for rows in _slices(batches, columns, slots):
+        for rows in _slices(batches, columns, slots if wide is None else wide):
             add(rows, totals)
         met = np.flatnonzero(totals.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(np.ascontiguousarray(totals[met, i])) for i in range(width))], ["slot", *names])
@@ -100,14 +105,55 @@ def summed(table: DataFrame, columns: Sequence[str], slots: int, width: int, add
     return out
 
 
-def _uniform(h: np.ndarray, model: int, step: int) -> np.ndarray:
-    """A number in (0, 1) of every row, fixed by its hash, the fit and the step."""
-    z = h.view(np.uint64) ^ np.uint64((model * 1_000_003 + step + 1) * _MIX % 2**64)
+def _uniform(h: np.ndarray, models: np.ndarray, step: int) -> np.ndarray:
+    """A number in (0, 1) of every row and fit, rows x fits, fixed by the row's hash, the fit and the step."""
+    salt = np.array([(int(m) * 1_000_003 + step + 1) * _MIX % 2**64 for m in models], np.uint64)
+    z = h.view(np.uint64)[:, None] ^ salt
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
 
 
+def _draws(specs: Sequence[Spec]) -> np.ndarray:
+    return np.array([-1 if s.draw is None else s.draw for s in specs])
+
+
+def _seen(rows: dict, draws: np.ndarray) -> np.ndarray:
+    """Which rows each fit sees, rows x fits."""
+    return np.concatenate([rows["drawn"], np.ones((len(rows["x"]), 1), bool)], 1)[:, draws]
+
+
+def _fold(wide: np.ndarray, square: np.ndarray, seen: np.ndarray, centres: np.ndarray, span: np.ndarray) -> None:
+    """Add every row to its nearest centre (ties to the lower number) of each fit that sees it.
+
+    ``wide`` is a one and the row's values, ``centres`` clusters x (columns + 1) x fits, ``span`` the (cluster, fit) totals.
+    A few rows at a time, so that the distances of all fits stay in the processor's cache.
+    """
+    k, _, m = centres.shape
+    n = max(16, 40_000 // m)
+    near, share = np.empty((k, min(n, len(wide)), m)), np.empty((min(n, len(wide)), m))
+    for lo in range(0, len(wide), n):
+        w = wide[lo:lo + n]
+        d, part = near[:, :len(w)], share[:len(w)]
+        for j in range(k):
+            np.dot(w, centres[j], out=d[j])
+        best = d.min(0)
+        taken = ~seen[lo:lo + n]
+        for j in range(k):
+            own = d[j] == best
+            own &= ~taken
+            taken |= own
+            part[:] = own
+            sums = part.T @ w
+            span[j * m:(j + 1) * m, 0] += sums[:, 0]
+            span[j * m:(j + 1) * m, 2:] += sums[:, 1:]
+        best += square[lo:lo + n]
+        np.maximum(best, 0, out=best)
+        best *= seen[lo:lo + n]
+        span[:m, 1] += best.sum(0)
+
+
 def _inside(rows: dict, spec: Spec) -> np.ndarray | slice:
     return slice(None) if spec.draw is None else rows["drawn"][:, spec.draw]
 
@@ -123,29 +169,36 @@ def first_centres(table: DataFrame, specs: Sequence[Spec]) -> list[np.ndarray]:
         open_ = [i for i, s in enumerate(specs) if s.k > step and len(centres[i]) == step]
         if not open_:
             break
-        now = {i: np.array(centres[i]) for i in open_}
+        stack = np.stack([centres[i] for i in open_], 1).reshape(step * len(open_), -1) if step else None
+        draws = _draws([specs[i] for i in open_])
 
-        def race(batches, open_=open_, now=now, step=step):
-            best: dict[int, tuple[tuple[int, float], list]] = {}
-            stack = np.concatenate([now[i] for i in open_]) if step else None
-            for rows in _slices(batches, ("x", "h", "drawn"), len(open_) * max(1, step)):
+        def race(batches, open_=np.array(open_), stack=stack, draws=draws, step=step):
+            m = len(open_)
+            late, least, at = np.full(m, 2), np.full(m, np.inf), [None] * m
+            for rows in _slices(batches, ("x", "h", "drawn"), m * max(1, step)):
                 x = rows["x"]
                 square = (x * x).sum(1)
-                far = np.maximum(0, square[:, None] - 2 * x @ stack.T + (stack * stack).sum(1)).reshape(len(x), len(open_), step).min(2) if step else np.ones((len(x), len(open_)))
-                spent = far <= 1e-12 * (1 + square)[:, None] if step else np.zeros(far.shape, bool)  # a row that is a centre already comes last
-                for at, i in enumerate(open_):
-                    e = -np.log(_uniform(rows["h"], i, step))
-                    e = np.where(spent[:, at], e, e / np.where(spent[:, at], 1, far[:, at]))
-                    inside = np.ones(len(x), bool) if specs[i].draw is None else rows["drawn"][:, specs[i].draw]
-                    for late, rows_of in ((0, inside & ~spent[:, at]), (1, inside & spent[:, at])):
-                        those = np.flatnonzero(rows_of)
-                        if len(those):
-                            j = those[e[those].argmin()]
-                            if i not in best or (late, e[j]) < best[i][0]:
-                                best[i] = ((late, float(e[j])), x[j].tolist())
-                            break
-            if best:
-                yield pa.RecordBatch.from_pylist([{"fit": i, "late": k[0], "e": k[1], "x": x} for i, (k, x) in best.items()],
+                e = -np.log(_uniform(rows["h"], open_, step))
+                seen = _seen(rows, draws)
+                spent = np.zeros(e.shape, bool)
+                if step:
+                    far = ((stack * stack).sum(1) - 2 * x @ stack.T).reshape(len(x), step, m).min(1)
+                    far = np.maximum(0, far + square[:, None])
+                    spent = far <= 1e-12 * (1 + square)[:, None]  # a row that is a centre already comes last
+                    e = np.where(spent, e, e / np.where(spent, 1, far))
+                fresh = np.where(seen & ~spent, e, np.inf)
+                rank, value, row = np.zeros(m, int), fresh.min(0), fresh.argmin(0)
+                none = np.flatnonzero(np.isinf(value))
+                if len(none):
+                    again = np.where(seen[:, none], e[:, none], np.inf)
+                    rank[none], value[none], row[none] = 1, again.min(0), again.argmin(0)
+                better = np.isfinite(value) & ((rank < late) | (rank == late) & (value < least))
+                late[better], least[better] = rank[better], value[better]
+                for i in np.flatnonzero(better).tolist():
+                    at[i] = x[row[i]].tolist()
+            some = [i for i in range(m) if at[i] is not None]
+            if some:
+                yield pa.RecordBatch.from_pylist([{"fit": int(open_[i]), "late": int(late[i]), "e": float(least[i]), "x": at[i]} for i in some],
                                                  pa.schema([("fit", pa.int32()), ("late", pa.int32()), ("e", pa.float64()), ("x", pa.list_(pa.float64()))]))
 
         picked = (table.select("x", "h", "drawn").mapInArrow(race, "fit int, late int, e double, x array<double>")
@@ -165,33 +218,33 @@ def fit_kmeans(table: DataFrame, specs: Sequence[Spec], max_iter: int = 100, tol
     for step in range(max_iter):
         if not moving:
             break
-        first = np.cumsum([0, *(len(f.centres) for f in moving)])
-        d = moving[0].centres.shape[1]
-        stack = np.concatenate([f.centres for f in moving])
-
-        def add(rows, totals, now=tuple(f.spec for f in moving), first=first, stack=stack):
+        d, blocks, at = moving[0].centres.shape[1], [], 0
+        for k in sorted({len(f.centres) for f in moving}):  # fits of equal k are one block of clusters x fits
+            same = [f for f in moving if len(f.centres) == k]
+            blocks.append((at, k, same))
+            at += k * len(same)
+        sent = []
+        for lo, k, same in blocks:
+            c = np.stack([f.centres for f in same], 2)  # clusters x columns x fits
+            sent.append((lo, np.concatenate([(c * c).sum(1, keepdims=True), -2 * c], 1), _draws([f.spec for f in same])))
+
+        def add(rows, totals, sent=sent):
             x = rows["x"]
-            square = (x * x).sum(1)
-            near = (stack * stack).sum(1) - 2 * x @ stack.T
-            owner = np.zeros(near.shape)
-            for i, spec in enumerate(now):
-                part = near[:, first[i]:first[i + 1]]
-                own = part.argmin(1)
-                inside = np.arange(len(x)) if spec.draw is None else np.flatnonzero(rows["drawn"][:, spec.draw])
-                owner[inside, first[i] + own[inside]] = 1
-            totals[:, 0] += owner.sum(0)
-            totals[:, 1] += (owner * np.maximum(0, near + square[:, None])).sum(0)
-            totals[:, 2:] += owner.T @ x
-
-        got = summed(table, ("x", "drawn"), len(stack), d + 2, add)
+            wide = np.concatenate([np.ones((len(x), 1)), x], 1)
+            for lo, centres, draws in sent:
+                k, _, m = centres.shape
+                _fold(wide, (x * x).sum(1)[:, None], _seen(rows, draws), centres, totals[lo:lo + k * m])
+
+        got = summed(table, ("x", "drawn"), at, d + 2, add, len(moving))
         still = []
-        for i, f in enumerate(moving):
-            t = got[first[i]:first[i + 1]]
-            f.cost, f.rounds = float(t[:, 1].sum()), step + 1
-            moved = np.where(t[:, :1] > 0, t[:, 2:] / np.maximum(t[:, :1], 1), f.centres)
-            if ((moved - f.centres) ** 2).sum(1).max() > tol * tol:
-                f.centres = moved
-                still.append(f)
+        for lo, k, same in blocks:
+            for i, f in enumerate(same):
+                t = got[lo + i:lo + k * len(same):len(same)]
+                f.cost, f.rounds = float(t[:, 1].sum()), step + 1
+                moved = np.where(t[:, :1] > 0, t[:, 2:] / np.maximum(t[:, :1], 1), f.centres)
+                if ((moved - f.centres) ** 2).sum(1).max() > tol * tol:
+                    f.centres = moved
+                    still.append(f)
         moving = still
     return fits
 
@@ -382,7 +435,7 @@ def draw_overlaps(labelled: DataFrame, pairs: Sequence[tuple[int, int, int, int,
             a, b = rows["labels"][inside, ref] - 1, rows["labels"][inside, new] - 1
             totals[first[i]:first[i + 1], 0] += np.bincount(a * k + b, minlength=first[i + 1] - first[i])
 
-    got = summed(labelled, ("labels", "drawn"), int(first[-1]), 1, count)[:, 0]
+    got = summed(labelled, ("labels", "drawn"), int(first[-1]), 1, count, len(pairs))[:, 0]
     out = []
     for i, (ref, ka, _, kb, draw) in enumerate(pairs):
         table = got[first[i]:first[i + 1]].reshape(ka, kb)
