@@ -147,3 +147,17 @@ def test_notices_that_only_name_the_licence_are_found(spark):
     m = licenses.Matcher({"the": 40, "of": 30}, 50)
     for _, _, text in data[:4]:
         assert m.best(text)[0] == pytest.approx(brute_cosine(m, text), abs=1e-9)
+
+
+def test_mixer_learns_from_every_training_word(spark):
+    from loadloom.llm import lm_score
+    df = spark.createDataFrame([(f"w{i:05d}".encode(),) for i in range(700)], "word binary").repartition(3)
+    words = [bytes(r.word) for r in df.orderBy(F.xxhash64("word", F.lit(1)), "word").collect()]
+    one = lm_score.Mixer.start(*lm_score._tables(df, 700))
+    gates, cells = one.learn(words)
+    bits = 8 * sum(len(w) + 1 for w in words)
+    assert gates.sum() == bits and cells.sum() == pytest.approx(bits)
+    learned = lm_score._mixer(df, 700, 200)  # 200 words at a time, all of them
+    assert np.allclose(learned.weights, one.weights) and np.allclose(learned.refine, one.refine)
+    several = lm_score._mixer(df, 700, 200, 250)  # averaged over three tasks
+    assert np.isfinite(several.weights).all() and not np.allclose(several.weights, 0.3)
