@@ -1,17 +1,24 @@
-"""SimHash fingerprints and their links at a small Hamming distance by anchor-point covering."""
+"""SimHash fingerprints, their links at a small Hamming distance by anchor-point covering, and wide fingerprints for a large one."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadloom.llm.common import as_long, local_roots, sorted_groups, text_of
+from loadloom.llm.common import as_long, local_roots, mix, sorted_groups, text_of
 from loadloom.llm.components import components
 from loadloom.sources.stage import stage
 
+#: 64-bit words of a wide fingerprint; the first half of them travels with a row that looks for its neighbours.
+WORDS = 8
+_SALT = np.random.default_rng(64).integers(0, 1 << 63, WORDS, dtype=np.uint64)
+_BYTES = np.uint64(0x0101010101010101)
+
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     """Majority bits of the hashes of all word shingles; A-Z lowered, words cut at ASCII white space."""
@@ -161,6 +168,87 @@ def near_links(fps: DataFrame, distance: int = 2, pair_limit: int = 1 << 24) ->
     return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(compare, "u long, v long")
 
 
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Majority bits, in ``WORDS`` words, of hashes of all elements of the set ``h``; none: zeros."""
+    ones = np.zeros((WORDS, 8, 8), np.int64)
+    for at in range(0, len(h), 255):
+        x = mix(h[at:at + 255] ^ _SALT[:, None])
+        for bit in range(8):  # eight sums a word, none above 255
+            ones[:, :, bit] += ((x >> np.uint64(bit)) & _BYTES).sum(1).view(np.uint8).reshape(WORDS, 8)
+    return np.packbits((ones * 2 > len(h)).ravel(), bitorder="little").view("<u8")
+
+
+def flips(least: float, size: np.ndarray) -> np.ndarray:
+    """Chance that a bit differs between sets of Jaccard ``least``: the angle between them, and a little more for small sets, whose sums tie."""
+    return math.acos(2 * least / (1 + least)) / math.pi + 0.15 / np.maximum(size, 1)
+
+
+def farthest(least: float, size: np.ndarray, bits: int) -> np.ndarray:
+    """Distance on ``bits`` bits that sets of Jaccard ``least`` exceed by chance only (five standard deviations)."""
+    p = flips(least, size)
+    return np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))).astype(np.int64)
+
+
+def wide_anchors(fp: np.ndarray, size: np.ndarray, least: float, anchor_bits: int, miss: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for every anchor that a wide fingerprint (rows x ``WORDS``) is sent to.
+
+    A code's anchors are the values of ``anchor_bits`` bits of the fingerprint. There are as many codes, each on other bits
+    until all are used, as it takes for sets of Jaccard ``least`` to share no anchor with probability ``miss`` only.
+    """
+    codes = np.ceil(math.log(miss) / np.log1p(-(1 - flips(least, size)) ** anchor_bits)).astype(np.int64)
+    most, a_round = int(codes.max(initial=0)), 64 * WORDS // anchor_bits
+    order = [np.random.default_rng([9, r]).permutation(64 * WORDS)[:a_round * anchor_bits].reshape(a_round, anchor_bits) for r in range(-(-most // a_round))]
+    if not order:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate(order)[:most]
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    value = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(anchor_bits))
+    row, code = np.nonzero(np.arange(most) < codes[:, None])
+    return row, code << 32 | value[row, code]
+
+
+def close_wide(fp: np.ndarray, size: np.ndarray, left: np.ndarray, least: float, tile: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (row, root) among rows of half a wide fingerprint (rows x ``WORDS`` / 2) no farther apart than sets of Jaccard ``least`` are.
+
+    ``left`` holds one side of the pairs, or is true everywhere for all pairs.
+    """
+    n, words = fp.shape
+    first = words // 2
+    order = np.argsort(size, kind="stable")
+    cols = [np.ascontiguousarray(fp[order, i]) for i in range(words)]
+    size = size[order].astype(np.int64)
+    left = left[order]
+    limit, rough = farthest(least, size, 64 * words), farthest(least, size, 64 * first)
+    every = bool(left.all())
+    a = np.flatnonzero(left)
+    b = a if every else np.flatnonzero(~left)
+    x_size, y_size, y_cols = size[a], size[b], [c[b] for c in cols]
+    root = np.arange(n)
+    s = 0
+    while s < len(a):
+        # in order of size, the partners of a row are the next ones
+        low = s if every else int(np.searchsorted(y_size, least * x_size[s] - 1e-9))
+        e = min(len(a), s + 256)
+        while True:
+            high = int(np.searchsorted(y_size, x_size[e - 1] / least + 1e-9, "right"))
+            if e - s == 1 or (e - s) * (high - low) <= tile:
+                break
+            e = s + (e - s) // 2
+        x, s = a[s:e], e
+        d = sum(np.bitwise_count(c[x, None] ^ y[low:high]) for c, y in zip(cols[:first], y_cols))
+        meets = d <= int(max(rough[x[0]], rough[b[low]] if low < high else 0))
+        some = np.flatnonzero(meets.any(1))
+        i, j = np.nonzero(meets[some])
+        u, v = x[some[i]], b[low + j]
+        far = sum(np.bitwise_count(c[u] ^ c[v]).astype(np.int64) for c in cols)
+        ok = (u != v) & (far <= np.maximum(limit[u], limit[v])) & (size[u] >= least * size[v]) & (size[v] >= least * size[u])
+        u, v = root[u[ok]], root[v[ok]]
+        if (u != v).any():
+            root = local_roots(n, np.concatenate([u, np.arange(n)]), np.concatenate([v, root]))
+    moved = np.flatnonzero(root != np.arange(n))
+    return order[moved], order[root[moved]]
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
