@@ -24,8 +24,14 @@ def _round(df, digits=8):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def long_forecast(spark, sf):
-    return E.long_predictions(R.forecast(spark, sf), MODELS, ["date"])
+def long_forecast(spark, sf, p=None):
+    return E.long_predictions(R.forecast(spark, sf, p), MODELS, ["date"])
+
+
+def written_series(spark, sf):
+    """(user-days, portfolio series, cluster series), each written once: a query with many parts rolls the readings up only here."""
+    days = stage(R.daily(spark, sf).select("user_id", "date", "daily_kwh", "hours_recorded"))
+    return days, stage(R.portfolio(spark, sf, days)), stage(R.cluster_daily(spark, sf, days))
 
 
 _LAGS = (1, 2, 7, 14, 28, 365)
@@ -286,8 +292,8 @@ _CAL_SQL = """r0 AS (SELECT cluster, date, abs(y - pred) AS r, {season} AS seaso
 _SEASON_D = "CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) IN (3, 4, 5) THEN 'spring' WHEN month(date) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END"
 
 
-def cluster_residuals(spark, sf):
-    c = R.cluster_forecast(spark, sf).where("pred IS NOT NULL").withColumn("season", F.expr(E.SEASON_SQL.format(d="date")))
+def cluster_residuals(spark, sf, c=None):
+    c = R.cluster_forecast(spark, sf, c).where("pred IS NOT NULL").withColumn("season", F.expr(E.SEASON_SQL.format(d="date")))
     return c.withColumn("resid", F.expr("abs(y - pred)"))
 
 
@@ -309,8 +315,8 @@ _MOND = "WITH " + _CAL_SQL.format(season=_SEASON_D) + """,
     """
 
 
-def mondrian_intervals(spark, sf):
-    r = stage(cluster_residuals(spark, sf))
+def mondrian_intervals(spark, sf, c=None):
+    r = stage(cluster_residuals(spark, sf, c))
     return E.add_interval(E.mondrian(r.where(VAL), r.where(TEST), "resid", "cluster", "season"))
 
 
@@ -379,10 +385,10 @@ ROLES["r_bu"] = "SELECT date, sum(y) AS actual, sum(pred) AS bottom_up FROM r_cl
 ROLES["r_share"] = "SELECT sum(p) / sum(t) AS share FROM (SELECT date, sum(y) AS p FROM r_cluster_daily GROUP BY date) JOIN (SELECT date, y AS t FROM r_portfolio) USING (date) WHERE year(date) = 2000"
 
 
-def _recon(spark, sf):
-    parts = R.cluster_forecast(spark, sf)
+def _recon(spark, sf, p=None, c=None):
+    parts = R.cluster_forecast(spark, sf, c)
     bu = reconcile.bottom_up(parts)
-    total = R.forecast(spark, sf)
+    total = R.forecast(spark, sf, p)
     td = reconcile.top_down(total.select("date", "weekly"), parts.where(VAL), total.where(VAL), "weekly")
     return bu.join(td.select("date", "top_down"), "date")
 
@@ -423,17 +429,18 @@ def scope_coverage(spark, sf):
     return _round(reconcile.scope_coverage(R.cluster_daily(spark, sf).where("cluster > 0"), R.portfolio(spark, sf), periods), 6)
 
 
-def _reconciled(spark, sf):
+def _reconciled(spark, sf, p=None, c=None):
     """Test days with the bottom-up, the top-down and the combined forecast."""
-    r = stage(_recon(spark, sf))
+    r = stage(_recon(spark, sf, p, c))
     return reconcile.combine(r.where(TEST), reconcile.inverse_variance(r.where(VAL), "bottom_up", "top_down", "actual"), "bottom_up", "top_down")
 
 
-def evidence_rows(spark, sf):
-    iv = stage(mondrian_intervals(spark, sf))
-    recon = E.long_predictions(_reconciled(spark, sf), ["bottom_up", "top_down", "combined"], ["date"], "actual")
-    scope = reconcile.scope_coverage(R.cluster_daily(spark, sf).where("cluster > 0"), R.portfolio(spark, sf), {"test": TEST})
-    return E.evidence(E.point_metrics(long_forecast(spark, sf).where(TEST)), E.interval_slices(iv, {"season": E.SEASON_SQL.format(d="date")}),
+def evidence_rows(spark, sf, written=None):
+    _, p, c = written or written_series(spark, sf)
+    iv = stage(mondrian_intervals(spark, sf, c))
+    recon = E.long_predictions(_reconciled(spark, sf, p, c), ["bottom_up", "top_down", "combined"], ["date"], "actual")
+    scope = reconcile.scope_coverage(c.where("cluster > 0"), p, {"test": TEST})
+    return E.evidence(E.point_metrics(long_forecast(spark, sf, p).where(TEST)), E.interval_slices(iv, {"season": E.SEASON_SQL.format(d="date")}),
                       E.point_metrics(recon, y="actual"), scope, E.segment_review(iv.where("cluster = 0")))
 
 
@@ -496,10 +503,11 @@ def rolling_origin_means(spark, sf):
     return _round(r.select("fold", "date", "y", "pred", "calibration_start"), 6)
 
 
-def model_table(spark, sf):
-    """Portfolio series with strict-past features, written once for all fits."""
-    w = R.panel(spark, sf).groupBy("date").agg(*[F.avg(c).alias(c) for c in ("tmean", "hdd", "cdd")])
-    p = R.portfolio(spark, sf).join(w, "date", "left")
+def model_table(spark, sf, days=None):
+    """Portfolio series with strict-past features, written once for all fits, from user-days that are written once too."""
+    days = stage(R.daily(spark, sf).select("user_id", "date", "daily_kwh", "hours_recorded")) if days is None else days
+    w = R.panel(spark, sf, days).groupBy("date").agg(*[F.avg(c).alias(c) for c in ("tmean", "hdd", "cdd")])
+    p = R.portfolio(spark, sf, days).join(w, "date", "left")
     p = series.add_lags(p, "y", "date", lags=(1, 2, 7, 14, 28), means=(7, 14, 28), sds=(7,))
     p = series.add_past_weather(p, ["tmean", "hdd", "cdd"], "date")
     p = series.add_differences(p, "y", "date", pairs={"diff_1": (1, 2), "diff_7": (1, 8)})
@@ -569,9 +577,9 @@ def feature_importance(spark, sf):
     return learners.importance(model, feats, spark)
 
 
-def mode_metrics(spark, sf):
+def mode_metrics(spark, sf, days=None):
     """Test metrics of the elastic net and the boosting in every weather mode."""
-    t = model_table(spark, sf)
+    t = model_table(spark, sf, days)
     out = None
     for mode in ("none", "operational", "ex_post"):
         feats = series.feature_set([c for c in t.columns if c not in _SKIP], mode)
@@ -593,7 +601,8 @@ def weather_mode_ablation(spark, sf):
 @query("model_evidence", "J30 J31")
 def model_evidence(spark, sf):
     """The headline rows of ``evidence_summary`` and what weather is worth to each learner."""
-    return _round(evidence_rows(spark, sf).unionByName(E.ablation_evidence(stage(mode_metrics(spark, sf)))), 6)
+    written = written_series(spark, sf)
+    return _round(evidence_rows(spark, sf, written).unionByName(E.ablation_evidence(stage(mode_metrics(spark, sf, written[0])))), 6)
 
 
 _CLUSTER_FEATURES = ["lag1", "lag7", "roll7", "dow"]

@@ -118,14 +118,14 @@ def panel(spark, sf, days: DataFrame | None = None) -> DataFrame:
                     C.cooling_degrees("tmean").alias("cdd")))
 
 
-def portfolio(spark, sf) -> DataFrame:
-    return (rollups.target_series(daily(spark, sf))
+def portfolio(spark, sf, days: DataFrame | None = None) -> DataFrame:
+    return (rollups.target_series(daily(spark, sf) if days is None else days)
             .select("date", F.col("total_kwh").alias("y"), "n_users"))
 
 
-def labels(spark, sf) -> DataFrame:
+def labels(spark, sf, days: DataFrame | None = None) -> DataFrame:
     s = table(spark, sf, "supplier")
-    m = daily(spark, sf).groupBy("user_id").agg(F.avg("daily_kwh").alias("m"))
+    m = (daily(spark, sf) if days is None else days).groupBy("user_id").agg(F.avg("daily_kwh").alias("m"))
     return m.join(s, F.col("user_id") == F.col("s_suppkey")).select(
         "user_id", F.when(F.col("m") < 3, -1).otherwise((F.col("s_nationkey") % 4).cast("int")).alias("cluster"))
 
@@ -139,19 +139,19 @@ def cluster_ids(spark, sf) -> list[int]:
     return [r[0] for r in labels(spark, sf).select("cluster").distinct().orderBy("cluster").collect()]
 
 
-def cluster_daily(spark, sf) -> DataFrame:
-    d = daily(spark, sf).join(labels(spark, sf), "user_id")
+def cluster_daily(spark, sf, days: DataFrame | None = None) -> DataFrame:
+    d = (daily(spark, sf) if days is None else days).join(labels(spark, sf, days), "user_id")
     return (rollups.target_series(d, by=["cluster"])
             .select("date", "cluster", F.col("total_kwh").alias("y"), "n_users"))
 
 
-def forecast(spark, sf) -> DataFrame:
-    """Portfolio series with three baseline predictions."""
-    p = series.add_lags(portfolio(spark, sf), y="y", order="date", lags=(1, 7), means=(7,))
+def forecast(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    """Portfolio series (``p`` if it is written already) with three baseline predictions."""
+    p = series.add_lags(portfolio(spark, sf) if p is None else p, y="y", order="date", lags=(1, 7), means=(7,))
     return p.select("date", "y", "n_users", F.col("lag1").alias("naive"), F.col("lag7").alias("weekly"),
                     F.col("roll7").alias("rolling"))
 
 
-def cluster_forecast(spark, sf) -> DataFrame:
-    p = series.add_lags(cluster_daily(spark, sf), y="y", order="date", key=("cluster",), lags=(1,), means=(7,))
+def cluster_forecast(spark, sf, c: DataFrame | None = None) -> DataFrame:
+    p = series.add_lags(cluster_daily(spark, sf) if c is None else c, y="y", order="date", key=("cluster",), lags=(1,), means=(7,))
     return p.select("date", "cluster", "y", "n_users", F.col("lag1").alias("naive"), F.col("roll7").alias("pred"))
