@@ -133,7 +133,7 @@ def _fold(total: dict[int, np.ndarray], rows: tuple, members: Sequence[Member],
     wide = nodes * p * BINS
     flat = np.arange(p) * BINS + codes
     # The draws of a round are the same for all settings and for a repeated task.
-    drawn = _uniform(h, seed, round_) < ROW_SHARE
+    drawn = _uniform(h, [seed], round_)[:, 0] < ROW_SHARE
     for i, t in total.items():
         x = members[i]
         r = y - state[:, i] - added(x.trees[written:round_], codes)

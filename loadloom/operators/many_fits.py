@@ -105,7 +105,7 @@ def summed(table: DataFrame, columns: Sequence[str], slots: int, width: int, add
     return out
 
 
-def _uniform(h: np.ndarray, models: np.ndarray, step: int) -> np.ndarray:
+def _uniform(h: np.ndarray, models: Sequence[int], step: int) -> np.ndarray:
     """A number in (0, 1) of every row and fit, rows x fits, fixed by the row's hash, the fit and the step."""
     salt = np.array([(int(m) * 1_000_003 + step + 1) * _MIX % 2**64 for m in models], np.uint64)
     z = h.view(np.uint64)[:, None] ^ salt
